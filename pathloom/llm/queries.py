@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import decontam, license_scan, packing, sharding, simhash, tokens
+from pathloom.llm import decontam, language_model, license_scan, packing, quality_model, quality_rules, sharding, simhash, tokens, toxicity
 from pathloom.llm.common import documents
 
 
@@ -28,6 +28,29 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", *(c.alias(k) for k, c in license_scan.summarized(F.col("matches")).items()))
 
 
+def op4_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(quality_rules.statistics_of(documents(spark, sf_dir)))
+    return found.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "distance")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    forest = quality_model.learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality_model.fifth)
+    return quality_model.score_quality(docs, forest).select("doc_id", quality_model.fifth("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_model.learn_languages(docs, language_model.third)
+    return language_model.predict_languages(docs.select("doc_id", "text"), model).select("doc_id", language_model.third("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.third)
+    return toxicity.score_toxicity(docs, model).select("doc_id", toxicity.third("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "item_id", "start", "overlap", "share")
@@ -45,7 +68,18 @@ def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_hash_tree_sharding, op3_license_scan, op6_spaced_seed_decontamination, op8_simhash_near_duplicates, op9_nnls_packing)
+    for f in (
+        op1_token_files,
+        op2_hash_tree_sharding,
+        op3_license_scan,
+        op4_robust_outlier_rules,
+        op5_quality_classifier,
+        op6_spaced_seed_decontamination,
+        op7_language_id,
+        op8_simhash_near_duplicates,
+        op9_nnls_packing,
+        op10_toxicity,
+    )
 }
 #: Equivalent DuckDB SQL, where SQL can express the query.
 ORACLES: dict[str, str] = {}
