@@ -30,17 +30,30 @@ from pathloom.llm.common import sampled, scratch_path, slices
 
 BLOCKS = "part int, block int, first_doc long, last_doc long, n_docs int, inner long, n_tokens long, width int, dict_hash string, doc_ids array<long>, counts array<int>, ends array<int>, payload binary"
 DECODED = "doc_id long, start long, n_tokens long, ids binary"
-#: Two white-space characters of which the second is a blank: a run that must not be cut at that blank.
-_RUN = re.compile(r"\s ")
+#: A blank after white space, or a full stop or comma after anything but a letter or digit: no place to cut.
+_RUN, _MARKS = re.compile(r"\s "), re.compile(r"[\W_][.,]")
+#: The same for texts that are composed and lower-cased first, which turns some other letters into a letter and a mark.
+_LOWER_MARKS = re.compile("[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
 
 
 class PieceTokenizer:
-    """The ids of the tokenizers library, with a cache of the pieces between blanks.
+    """The ids of the tokenizers library, with a cache of the pieces between blanks and before full stops and commas.
 
-    Both vocabularies cut a text at white space before they merge bytes, so the ids of a text are those of its pieces in a
-    row. Each new piece goes to the library once; the cache has two generations of at most `most` pieces, and so follows
-    the text at a bounded size. With `keeps_space` a blank belongs to the piece after it (byte-level vocabularies); a text
-    with longer runs of white space then goes to the library as a whole."""
+    Both vocabularies cut a text there before they merge bytes, so the ids of a text are those of its pieces in a row. Each
+    new piece goes to the library once; the cache has two generations of at most `most` pieces, and so follows the text at
+    a bounded size. With `keeps_space` a blank belongs to the piece after it (byte-level vocabularies), else texts are
+    lower-cased; a text with longer runs of white space then goes to the library as a whole, and one with other marks
+    before full stops or commas is cut at blanks alone."""
 
     def __init__(self, path: str, keeps_space: bool, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,6 +61,7 @@ class PieceTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.model = self.lib.model
         self.keeps_space, self.most = keeps_space, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -55,6 +69,18 @@ class PieceTokenizer:
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, pieces: list[str]) -> None:
+        """Cache pieces. Those of Latin letters alone are one word to the library, and go right to its merging step."""
+        merge, rest, young = self.model.tokenize, [], self.young
+        for p in pieces:
+            word = p[1:] if self.keeps_space and p[:1] == " " else p
+            raw = p if self.keeps_space else p.lower()
+            if not word.isalpha() or max(word) >= "\u0250" or not self.keeps_space and not raw.isalpha():
+                rest.append(p)
+                continue
+            young[p] = b"".join([t.id.to_bytes(4, "little") for t in merge(raw.encode().decode("latin-1").translate(_LETTERS))])
+        young.update(zip(rest, self.direct(rest), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
         if len(self.young) > self.most:
@@ -62,29 +88,20 @@ class PieceTokenizer:
         out: list[bytes] = [b""] * len(texts)
         pieces: dict[int, list[str]] = {}
         whole: list[int] = []
-        types: set[str] = set()
+        missing: set[str] = set()
         for i, text in enumerate(texts):
-            if self.keeps_space and _RUN.search(text):
+            if "\0" in text or self.keeps_space and _RUN.search(text):
                 whole.append(i)
                 continue
-            if self.keeps_space:
-                p = text.split(" ")
-                p[1:] = [" " + x for x in p[1:]]
-            else:
-                p = text.replace("\n", " ").split(" ")
-            pieces[i] = p
-            types.update(p)
-        young, old, missing = self.young, self.old, []
-        for p in types:
-            if p not in young:
-                known = old.get(p)
-                if known is None:
-                    missing.append(p)
-                else:
-                    young[p] = known
-        for p, ids in zip(missing, self.direct(missing), strict=True):
-            young[p] = ids
-        get = young.__getitem__
+            marked = text if (_MARKS if self.keeps_space else _LOWER_MARKS).search(text) else text.replace(".", "\0.").replace(",", "\0,")
+            marked = marked.replace(" ", "\0 ") if self.keeps_space else marked.replace("\n", "\0").replace(" ", "\0")
+            p = pieces[i] = marked.split("\0")
+            missing |= set(p).difference(self.young)
+        known = missing & self.old.keys() if self.old else set()
+        for p in known:
+            self.young[p] = self.old[p]
+        self.learn(list(missing - known))
+        get = self.young.__getitem__
         for i, p in pieces.items():
             out[i] = b"".join(map(get, p))
         for i, ids in zip(whole, self.direct([texts[i] for i in whole]), strict=True):
