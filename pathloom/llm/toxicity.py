@@ -24,7 +24,7 @@ ORDER, DECAY, WIDTH = 3, 0.5, 14
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: Three or more single characters apart count as one word.
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-_OUTER = re.compile(r"^[^\w]+|[^\w]+$")
+_MARKS = re.compile(r"[^\w]+|_+")
 
 
 def units(text: str | None) -> list[str]:
@@ -36,9 +36,13 @@ def units(text: str | None) -> list[str]:
     return found
 
 
+def core_of(unit: str) -> str:
+    return _MARKS.sub("", unit)
+
+
 def forms(unit: str) -> list[str]:
-    """What the kernel sees of a unit: without outer marks, and a long one as overlapping windows."""
-    core = _OUTER.sub("", unit)
+    """What the kernel sees of a unit: without marks, and a long one as overlapping windows."""
+    core = core_of(unit)
     if len(core) <= WIDTH:
         return [core]
     return [core[i : i + WIDTH] for i in range(0, len(core) - WIDTH // 2, WIDTH // 2)]
@@ -53,34 +57,42 @@ def _codes(words: list[str], blank: int) -> np.ndarray:
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums over shared subsequences of length ORDER of codes a[..., WIDTH] and b[..., WIDTH], which broadcast."""
-    shape = np.broadcast_shapes(a.shape[:-1], b.shape[:-1])
-    used_a = int((a >= 0).any(axis=tuple(range(a.ndim - 1))).sum())
-    used_b = int((b >= 0).any(axis=tuple(range(b.ndim - 1))).sum())
-    # prev[j][t]: weight of subsequences of length j of a up to here and of b before t
-    prev = [[np.ones(shape, np.float32)] * (used_b + 1)] + [[np.zeros(shape, np.float32)] * (used_b + 1) for _ in range(1, ORDER)]
+    shape, decay = np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.float32(DECAY)
+    used_a, used_b = (int((x >= 0).any(axis=tuple(range(x.ndim - 1))).sum()) for x in (a, b))
+    # seen[j][t]: weight of the subsequences of j letters of a so far and of b before t; of none it is 1 everywhere
+    seen = {j: np.zeros((used_b + 1, *shape), np.float32) for j in range(1, ORDER)}
     total = np.zeros(shape, np.float32)
     for s in range(used_a):
-        same = [(a[..., s] == b[..., t]) for t in range(used_b)]
+        same = [(a[..., s] == b[..., t]).astype(np.float32) for t in range(used_b)]
         for t in range(used_b):
-            total += same[t] * prev[ORDER - 1][t]
+            total += same[t] * seen[ORDER - 1][t]
         for j in range(ORDER - 1, 0, -1):
+            seen[j] *= decay
             run = np.zeros(shape, np.float32)
-            row = [prev[j][0] * np.float32(DECAY)]
             for t in range(used_b):
-                run = run * np.float32(DECAY) + same[t] * prev[j - 1][t] * np.float32(DECAY**2)
-                row.append(prev[j][t + 1] * np.float32(DECAY) + run)
-            prev[j] = row
-    return total * np.float32(DECAY**2)
+                run *= decay
+                run += same[t] if j == 1 else same[t] * seen[j - 1][t]
+                seen[j][t + 1] += run
+    return total
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The normalized kernel [word, landmark]; 0 where a word has fewer than ORDER letters."""
-    a, b = _codes(words, -1), _codes(landmarks, -2)
-    own_a, own_b = (_pairs(x, np.where(x < 0, -3, x)) for x in (a, np.where(b < 0, -1, b)))
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for at in range(0, len(words), 256):
-        out[at : at + 256] = _pairs(a[at : at + 256, None, :], b[None, :, :])
-    return out / np.sqrt(np.maximum(np.outer(own_a, own_b), np.float32(1e-12)))
+    by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
+    marks = sorted(range(len(landmarks)), key=lambda i: len(landmarks[i]))
+    groups = [g for g in (marks[: len(marks) // 2], marks[len(marks) // 2 :]) if g]
+    sides = []
+    for g in groups:
+        b = _codes([landmarks[i] for i in g], -2)
+        sides.append((g, b, _pairs(np.where(b < 0, -1, b), np.where(b < 0, -3, b))))
+    for at in range(0, len(words), 1024):
+        part = by_size[at : at + 1024]
+        a = _codes([words[i] for i in part], -1)
+        own = _pairs(a, np.where(a < 0, -3, a))
+        for g, b, own_b in sides:
+            out[np.ix_(part, g)] = _pairs(a[:, None, :], b[None, :, :]) / np.sqrt(np.maximum(np.outer(own, own_b), np.float32(1e-12)))
+    return out
 
 
 @dataclass
@@ -146,62 +158,95 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, roun
     return w[:-1], float(w[-1])
 
 
-def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 24, clean_landmarks: int = 8, negatives: int = 3_000, rounds: int = 3, seed: int = 3) -> Machine:
+def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 28, clean_landmarks: int = 6, negatives: int = 3_000, rounds: int = 3, seed: int = 3) -> Machine:
     """A machine for the labelled texts; a constant that calls nothing toxic if one of the labels is missing."""
     bags = [sorted(set(units(t))) for t in texts]
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return Machine([], np.zeros(0), -1.0, 1.0, -2.0)
     rng = np.random.default_rng(seed)
+    cores = [{c for c in map(core_of, bag) if ORDER <= len(c) <= WIDTH} for bag in bags]
     inside, outside = Counter(), Counter()
-    for bag, t in zip(bags, y, strict=True):
-        (inside if t else outside).update({_OUTER.sub("", u) for u in bag})
-    n1, n0 = int(y.sum()), int((~y).sum())
+    seen: set[str] = set()
+    n1 = 0
+    for own, t in zip(cores, y, strict=True):
+        if not t:
+            outside.update(own)
+            continue
+        rare = {c for c in own if len(c) > 7}
+        # copies would make every word of theirs telling
+        if not rare or 2 * len(rare & seen) < len(rare):
+            n1 += 1
+            inside.update(own)
+        seen |= rare
+    n0 = int((~y).sum())
 
     def odds(core: str) -> float:
         return float(np.log((inside[core] + 0.5) / (n1 + 1)) - np.log((outside[core] + 0.5) / (n0 + 1)))
 
-    # each toxic document is explained by its most telling word; words that explain most come first
-    explained: Counter[str] = Counter()
-    for bag, t in zip(bags, y, strict=True):
-        if t:
-            cores = [c for c in {_OUTER.sub("", u) for u in bag} if ORDER <= len(c) <= WIDTH and inside[c] >= 3]
-            if cores:
-                explained[max(cores, key=lambda c: (odds(c) * np.sqrt(inside[c]), c))] += 1
-    telling = [c for c, _ in sorted(explained.items(), key=lambda x: (-x[1], x[0])) if odds(c) > 1.5]
+    telling = sorted((c for c, n in inside.items() if n >= 5 and odds(c) > 2), key=lambda c: (-inside[c], c))[:600]
+    if not telling:
+        return Machine([], np.zeros(0), -1.0, 1.0, -2.0)
+    # landmarks cover the toxic documents: telling words, or stems of at least three of them, that clean documents lack
+    stems = Counter(x for w in telling for x in {w[i:j] for i in range(len(w)) for j in range(i + ORDER + 1, len(w) + 1)})
+    clean_line = "\n".join(outside)
+    spots: dict[str, set[int]] = {}
+    toxic_cores = [own for own, t in zip(cores, y, strict=True) if t]
+    known = set(telling)
+    for i, own in enumerate(toxic_cores):
+        for w in own & known:
+            spots.setdefault(w, set()).add(i)
+    covers: dict[str, set[int]] = {}
+    for x in [x for x, n in stems.items() if n >= 3 or x in known]:
+        if x not in clean_line or sum(n for w, n in outside.items() if x in w) <= 0.002 * n0:
+            covers[x] = set().union(*(spots.get(w, ()) for w in telling if x in w))
     chosen: list[str] = []
-    for c in telling:
-        if len(chosen) < landmarks and (not chosen or kernel([c], chosen).max() < 0.9):
-            chosen.append(c)
+    left = np.full(len(toxic_cores), 2)
+    while covers and len(chosen) < landmarks:
+        best = max(covers, key=lambda x: (sum(left[i] > 0 for i in covers[x]), len(x), x))
+        if sum(left[i] > 0 for i in covers[best]) < 3:
+            break
+        chosen.append(best)
+        for i in covers.pop(best):
+            left[i] -= 1
+    # an insult that others mostly stand beside is a landmark all the same
+    chosen += [c for c in telling if c not in chosen and inside[c] >= 0.01 * n1 and kernel([c], chosen or [c]).max() < 0.4][: landmarks - len(chosen)]
     if not chosen:
         return Machine([], np.zeros(0), -1.0, 1.0, -2.0)
-    chosen += [c for c, _ in outside.most_common(2000) if ORDER < len(c) <= WIDTH and c not in chosen][:clean_landmarks]
+    insults = list(chosen)
+    chosen += [c for c, _ in outside.most_common(2000) if ORDER < len(c) and c not in chosen][:clean_landmarks]
     gram = kernel(chosen, chosen).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    clean = sorted({u for bag, t in zip(bags, y, strict=True) if not t for u in bag if len(u) >= ORDER})
-    # the clean words nearest to any landmark, and others at random
-    near = kernel([forms(u)[0] for u in clean], chosen[:landmarks]).max(axis=1) if clean else np.zeros(0)
-    hard = np.argsort(-near, kind="stable")[: negatives // 2].tolist()
-    picked = sorted({*hard, *rng.permutation(len(clean))[: negatives // 2].tolist()})
-    x0 = kernel([forms(clean[i])[0] for i in picked], chosen) @ whiten
-    witness = [max(bag, key=lambda u: (odds(_OUTER.sub("", u)) if inside[_OUTER.sub("", u)] >= 3 else -9, u), default="") for bag, t in zip(bags, y, strict=True) if t]
+    clean = sorted({f for bag, t in zip(bags, y, strict=True) if not t for u in bag for f in forms(u) if len(f) >= ORDER})
+    clean = [clean[i] for i in sorted(rng.permutation(len(clean))[: 20 * negatives].tolist())]
+    near = kernel(clean, chosen)
+    # the clean words nearest to any insult, and others at random
+    picked = sorted({*np.argsort(-near[:, : len(insults)].max(axis=1), kind="stable")[: negatives // 2].tolist(), *rng.permutation(len(clean))[: negatives // 2].tolist()}) if clean else []
+    x0 = near[picked] @ whiten
+    # insults with a character put in are toxic too
+    bent = sorted({w[:i] + c + w[i:] for w in insults for i in range(1, len(w)) for c in "x0"})
+    bent_x = kernel(bent, chosen) @ whiten
     toxic_bags = [bag for bag, t in zip(bags, y, strict=True) if t]
+    words = sorted({f for bag in toxic_bags for u in bag for f in forms(u)})
+    place = {f: i for i, f in enumerate(words)}
+    within = [np.unique([place[f] for u in bag for f in forms(u)]).astype(int) for bag in toxic_bags]
+    x = kernel(words, chosen) @ whiten
+    sure = {place[c] for c in telling if c in place}
+    value = np.array([odds(w) if i in sure else -9.0 for i, w in enumerate(words)])
     machine = Machine(chosen, np.zeros(len(chosen)), -1.0, 1.0, 0.0)
-    known: dict[str, float] = {}
     for _ in range(rounds):
-        good = [w for w in witness if odds(_OUTER.sub("", w)) > 0 and len(w) >= ORDER]
-        x1 = kernel([forms(w)[0] for w in good], chosen) @ whiten
-        x, t = np.vstack([x1, x0]), np.concatenate([np.ones(len(x1)), -np.ones(len(x0))])
-        share = np.where(t > 0, len(x0) / max(len(x1), 1), 1.0)
-        w, b = _fit_linear(x, t, share, c=1.0)
+        witness = {int(w[np.argmax(value[w])]) for w in within if len(w)}
+        good = sorted(sure | {i for i in witness if odds(words[i]) > 0 and value[i] > -1})
+        both = np.vstack([x[good], bent_x, x0])
+        sign = np.concatenate([np.ones(len(good) + len(bent)), -np.ones(len(x0))])
+        share = np.concatenate([np.full(len(good), len(x0) / max(len(good), 1)), np.full(len(bent), 0.2 * len(x0) / max(len(bent), 1)), np.ones(len(x0))])
+        w, b = _fit_linear(both, sign, share, c=1.0)
         machine.weights, machine.bias = whiten @ w, b
-        known = dict(zip(all_units := sorted(set().union(*toxic_bags)), machine.decide(all_units).tolist(), strict=True))
-        witness = [max(bag, key=lambda u: (known[u], u), default="") for bag in toxic_bags]
-    machine.young = {}
+        value = x @ w + b
     top = machine.tops(texts)
     machine.slope, machine.shift = _calibrated(top, y.astype(float))
-    machine.young = {}
+    machine.young, machine.old = {}, {}
     return machine
 
 
