@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import crc_of_id, sampled, slices
 
-ORDER, DECAY, WIDTH = 3, 0.5, 14
+ORDER, DECAY, WIDTH, SHARPNESS = 3, 0.5, 14, 1.5
 _SENTENCE = re.compile(r"[.!?\n]+")
 #: Three or more single characters apart count as one word.
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -77,7 +77,8 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """The normalized kernel [word, landmark]; 0 where a word has fewer than ORDER letters."""
+    """The kernel [word, landmark]: a Gaussian of the distance that the normalized subsequence kernel spans, 1 for equal words
+    and exp(-2 * SHARPNESS) for those that share no subsequence, so that no sum of faint likenesses looks like an insult."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
     by_size = sorted(range(len(words)), key=lambda i: len(words[i]))
     marks = sorted(range(len(landmarks)), key=lambda i: len(landmarks[i]))
@@ -92,7 +93,7 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
         own = _pairs(a, np.where(a < 0, -3, a))
         for g, b, own_b in sides:
             out[np.ix_(part, g)] = _pairs(a[:, None, :], b[None, :, :]) / np.sqrt(np.maximum(np.outer(own, own_b), np.float32(1e-12)))
-    return out
+    return np.exp(2 * SHARPNESS * (out - 1))
 
 
 @dataclass
@@ -144,17 +145,26 @@ class Machine:
         return list(zip(found, self.score(found).tolist(), strict=True))
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of a squared-hinge support vector machine, by accelerated gradient steps."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    reach = 2 * c * float(np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2) + 1
-    w = look = np.zeros(z.shape[1])
-    for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (z @ look))
-        g = np.append(look[:-1], 0) - 2 * c * z.T @ (weight * y * slack)
-        new = look - g / reach
-        look = new + k / (k + 3) * (new - w)
-        w = new
+def _fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Weights and bias of a squared-hinge support vector machine, by Newton steps on the rows within the margin."""
+    z = np.hstack([x, np.ones((len(x), 1))]).astype(float)
+    free = np.eye(z.shape[1])
+    free[-1, -1] = 1e-3
+    w = np.zeros(z.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        return float(v @ free @ v / 2 + c * (weight * np.maximum(0, 1 - y * (z @ v)) ** 2).sum())
+
+    for _ in range(rounds):
+        on = y * (z @ w) < 1
+        part = z[on] * weight[on, None]
+        step = np.linalg.solve(free + 2 * c * part.T @ z[on], 2 * c * part.T @ y[on]) - w
+        size, now = 1.0, loss(w)
+        while size > 1e-4 and loss(w + size * step) > now:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -201,7 +211,7 @@ def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 28, clean_l
         if x not in clean_line or sum(n for w, n in outside.items() if x in w) <= 0.002 * n0:
             covers[x] = set().union(*(spots.get(w, ()) for w in telling if x in w))
     chosen: list[str] = []
-    left = np.full(len(toxic_cores), 2)
+    left = np.full(len(toxic_cores), 1)
     while covers and len(chosen) < landmarks:
         best = max(covers, key=lambda x: (sum(left[i] > 0 for i in covers[x]), len(x), x))
         if sum(left[i] > 0 for i in covers[best]) < 3:
@@ -210,7 +220,7 @@ def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 28, clean_l
         for i in covers.pop(best):
             left[i] -= 1
     # an insult that others mostly stand beside is a landmark all the same
-    chosen += [c for c in telling if c not in chosen and inside[c] >= 0.01 * n1 and kernel([c], chosen or [c]).max() < 0.4][: landmarks - len(chosen)]
+    chosen += [c for c in telling if c not in chosen and inside[c] >= 0.01 * n1 and kernel([c], chosen or [c]).max() < 0.3][: landmarks - len(chosen)]
     if not chosen:
         return Machine([], np.zeros(0), -1.0, 1.0, -2.0)
     insults = list(chosen)
@@ -220,9 +230,10 @@ def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 28, clean_l
     whiten = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     clean = sorted({f for bag, t in zip(bags, y, strict=True) if not t for u in bag for f in forms(u) if len(f) >= ORDER})
     clean = [clean[i] for i in sorted(rng.permutation(len(clean))[: 20 * negatives].tolist())]
+    # the commonest clean words and landmarks, those nearest to any insult, and others at random
+    clean = list(dict.fromkeys([*chosen[len(insults) :], *(c for c, _ in outside.most_common(negatives // 3)), *clean]))
     near = kernel(clean, chosen)
-    # the clean words nearest to any insult, and others at random
-    picked = sorted({*np.argsort(-near[:, : len(insults)].max(axis=1), kind="stable")[: negatives // 2].tolist(), *rng.permutation(len(clean))[: negatives // 2].tolist()}) if clean else []
+    picked = sorted({*range(min(len(clean), negatives // 3)), *np.argsort(-near[:, : len(insults)].max(axis=1), kind="stable")[: negatives // 2].tolist(), *rng.permutation(len(clean))[: negatives // 3].tolist()})
     x0 = near[picked] @ whiten
     # insults with a character put in are toxic too
     bent = sorted({w[:i] + c + w[i:] for w in insults for i in range(1, len(w)) for c in "x0"})
@@ -241,7 +252,7 @@ def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 28, clean_l
         both = np.vstack([x[good], bent_x, x0])
         sign = np.concatenate([np.ones(len(good) + len(bent)), -np.ones(len(x0))])
         share = np.concatenate([np.full(len(good), len(x0) / max(len(good), 1)), np.full(len(bent), 0.2 * len(x0) / max(len(bent), 1)), np.ones(len(x0))])
-        w, b = _fit_linear(both, sign, share, c=1.0)
+        w, b = _fit_linear(both, sign, share, c=5.0)
         machine.weights, machine.bias = whiten @ w, b
         value = x @ w + b
     top = machine.tops(texts)
@@ -254,14 +265,20 @@ def _calibrated(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float,
     """Slope and shift of the logistic curve that fits labels y to values x (targets drawn in a little from 0 and 1)."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    z = np.stack([x, np.ones_like(x)], axis=1)
+    v, z = np.array([1.0, 0.0]), np.stack([x, np.ones_like(x)], axis=1)
+
+    def loss(u: np.ndarray) -> float:
+        m = z @ u
+        return float((np.logaddexp(0, m) - target * m).sum() + 1e-4 * u @ u)
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (p - target))
-        a, b = a - step[0], b - step[1]
-    return float(max(a, 0.0)), float(b)
+        p = 1 / (1 + np.exp(-np.clip(z @ v, -30, 30)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + 2e-4 * np.eye(2)
+        step, size = np.linalg.solve(h, z.T @ (p - target) + 2e-4 * v), 1.0
+        while size > 1e-6 and loss(v - size * step) > loss(v):
+            size /= 2
+        v = v - size * step
+    return float(max(v[0], 0.0)), float(v[1])
 
 
 def third(doc_id: str) -> Column:
