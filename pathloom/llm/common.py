@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def crc_of_id_py(doc_id: int) -> int:
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, in pieces of at most `rows` rows and about `size` bytes of text (a longer text is alone)."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         at = total = 0
         for i, n in enumerate(lengths):
             if i > at and (total + n > size or i - at >= rows):
