@@ -57,13 +57,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     hits = written(hits, "hits")
     pairs = small(hits.withColumnRenamed("doc_id", "_d").withColumnRenamed("_text_hash", "_t"))
     laid = rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_t"))).drop("_d", "_t")
-    laid = laid.join(small(items), "item_id").withColumn("_w", words_of(F.col("text"))).drop("text")
+    laid = laid.join(small(items), "item_id")
 
-    def compared(start: Column) -> Column:
-        equal = F.filter(F.transform(F.col("item_words"), lambda w, k: F.coalesce(F.get(F.col("_w"), F.when(start + k >= 0, start + k)) == w, F.lit(False))), lambda x: x)
+    def compared(words: Column, start: Column) -> Column:
+        equal = F.filter(F.transform(F.col("item_words"), lambda w, k: F.coalesce(F.get(words, F.when(start + k >= 0, start + k)) == w, F.lit(False))), lambda x: x)
         return F.struct(F.size(equal).alias("overlap"), (-start).alias("back"))
 
-    best = F.array_max(F.transform(F.col("starts"), compared))
+    # the lambda's variable holds the words, so that they are split once and not for each comparison
+    best = F.get(F.transform(F.array(words_of(F.col("text"))), lambda words: F.array_max(F.transform(F.col("starts"), lambda start: compared(words, start)))), F.lit(0))
     scored = laid.select("doc_id", "_text_hash", "item_id", best.alias("b"), F.size("item_words").alias("n"))
     scored = scored.select("doc_id", "_text_hash", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.overlap").alias("overlap"), (F.col("b.overlap") / F.col("n")).alias("share"))
     return scored.filter((F.col("share") >= least_share) | (F.col("overlap") >= least_run)).distinct()
