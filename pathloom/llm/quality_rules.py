@@ -21,7 +21,7 @@ from pathloom.llm import docstats
 from pathloom.llm.common import slices, small, written
 
 #: Transformed statistics, and how far below its typical spread each may not shrink.
-VECTOR = {"f_length": 0.5, "f_word": 0.1, "f_symbols": 0.7, "f_lines": 0.7, "f_repeats": 0.7, "f_upper": 0.5, "f_marks": 0.3, "f_types": 0.1, "f_bars": 0.5}
+VECTOR = {"f_length": 0.5, "f_word": 0.1, "f_symbols": 0.7, "f_lines": 2.0, "f_repeats": 1.0, "f_upper": 0.5, "f_marks": 0.3, "f_types": 0.1, "f_bars": 0.5}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATISTICS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, x array<double>"
 K = len(VECTOR)
@@ -108,7 +108,7 @@ def estimates(stats: DataFrame, part: float = 0.75, steps: int = 3) -> DataFrame
     return written(_joined(medians, model).select(*_GROUP, "rows", "mean", "precision", F.greatest(F.col("median") / chi, F.lit(0.05)).alias("scale")), "estimates")
 
 
-def judge(stats: DataFrame, cutoff: float = 60.0, least: int = 100) -> DataFrame:
+def judge(stats: DataFrame, cutoff: float = 250.0, least: int = 100) -> DataFrame:
     """stats with distance, base_failed and kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated windows. Of the others those are kept whose squared

@@ -194,7 +194,14 @@ def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 28, clean_l
     def odds(core: str) -> float:
         return float(np.log((inside[core] + 0.5) / (n1 + 1)) - np.log((outside[core] + 0.5) / (n0 + 1)))
 
-    telling = sorted((c for c, n in inside.items() if n >= 5 and odds(c) > 2), key=lambda c: (-inside[c], c))[:600]
+    share1 = n1 / (n1 + n0)
+
+    def evidence(core: str) -> float:
+        """The likelihood-ratio statistic of the word's counts against the share of toxic documents."""
+        n, m = inside[core], outside[core]
+        return 2 * (n * np.log(n / ((n + m) * share1)) + (m * np.log(m / ((n + m) * (1 - share1))) if m else 0.0))
+
+    telling = sorted((c for c, n in inside.items() if n >= 4 and odds(c) > 2 and evidence(c) > 20), key=lambda c: (-inside[c], c))[:600]
     if not telling:
         return Machine([], np.zeros(0), -1.0, 1.0, -2.0)
     # landmarks cover the toxic documents: telling words, or stems of at least three of them, that clean documents lack
@@ -248,7 +255,7 @@ def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 28, clean_l
     machine = Machine(chosen, np.zeros(len(chosen)), -1.0, 1.0, 0.0)
     for _ in range(rounds):
         witness = {int(w[np.argmax(value[w])]) for w in within if len(w)}
-        good = sorted(sure | {i for i in witness if odds(words[i]) > 0 and value[i] > -1})
+        good = sorted(sure | {i for i in witness if value[i] > 0 and inside[words[i]] >= 2 and odds(words[i]) > 1 and evidence(words[i]) > 5})
         both = np.vstack([x[good], bent_x, x0])
         sign = np.concatenate([np.ones(len(good) + len(bent)), -np.ones(len(x0))])
         share = np.concatenate([np.full(len(good), len(x0) / max(len(good), 1)), np.full(len(bent), 0.2 * len(x0) / max(len(bent), 1)), np.ones(len(x0))])
