@@ -61,7 +61,7 @@ class Field:
     entries: np.ndarray
     start: np.ndarray
     transitions: np.ndarray
-    most: int = 200_000
+    most: int = 150_000
     cache: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
@@ -69,7 +69,9 @@ class Field:
         return self.__dict__ | {"cache": {}, "table": None}
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """The scores [word, language] of words, each looked up alone."""
+        """The scores [word, language] of words, each looked up alone, a few thousand at a time."""
+        if len(words) > 4096:
+            return np.concatenate([self.emissions(words[i : i + 4096]) for i in range(0, len(words), 4096)])
         hashes, starts = gram_rows(words)
         out = np.add.reduceat(self.grams[hashes], starts, axis=0)
         known = [(i, self.lexicon[w]) for i, w in enumerate(words) if w in self.lexicon]
@@ -81,13 +83,13 @@ class Field:
     def rows(self, docs: list[list[str]]) -> list[np.ndarray]:
         """For each document the rows of `table` that hold its words' emissions, exponentiated. The table is bounded."""
         if len(self.cache) > self.most or self.table is None:
-            self.cache, self.table = {}, np.empty((0, len(self.languages)))
+            self.cache, self.table = {}, np.empty((0, len(self.languages)), np.float32)
         cache = self.cache
         new = [w for w in dict.fromkeys(w for d in docs for w in d) if w not in cache]
         if new:
             scores = self.emissions(new)
             cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, np.exp(scores - scores.max(axis=1, keepdims=True))])
+            self.table = np.concatenate([self.table, np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float32)])
         get = cache.__getitem__
         return [np.fromiter(map(get, d), np.int64, len(d)) for d in docs]
 
@@ -125,7 +127,7 @@ def forward_backward(emissions: list[np.ndarray], start: np.ndarray, moves: np.n
     if not len(lengths) or not lengths[0]:
         return [np.empty((0, len(start))) for _ in emissions]
     begins = np.concatenate([[0], lengths.cumsum()[:-1]])
-    flat = np.concatenate(emissions)
+    flat = np.concatenate(emissions).astype(float)
     alpha, beta = np.empty_like(flat), np.ones_like(flat)
     active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
     at = begins[: active[0]]
@@ -260,7 +262,7 @@ def predict_languages(docs: DataFrame, model: Field, lang_pred: str = "lang_pred
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in slices(batches):
+        for b in slices(batches, rows=256, size=1 << 20):
             found = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for k, _ in found]), pa.array([s for _, s in found])], names=[*b.schema.names, lang_pred, score])
 
