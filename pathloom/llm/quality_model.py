@@ -37,6 +37,7 @@ class Forest:
 def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, ridge: float = 5.0, least: int = 20) -> Forest:
     """Boosting of the logistic loss with one histogram pass per level; without both labels the forest is a constant."""
     n, width = x.shape
+    least = min(least, max(3, n // 20))
     share = (y.sum() + 1) / (n + 2)
     start = float(np.log(share / (1 - share)))
     inner, leaves = (1 << depth) - 1, 1 << depth

@@ -177,18 +177,19 @@ def fit_machine(texts: list[str], toxic: list[int], landmarks: int = 28, clean_l
     rng = np.random.default_rng(seed)
     cores = [{c for c in map(core_of, bag) if ORDER <= len(c) <= WIDTH} for bag in bags]
     inside, outside = Counter(), Counter()
-    seen: set[str] = set()
+    seen: set[int] = set()
     n1 = 0
-    for own, t in zip(cores, y, strict=True):
+    for text, own, t in zip(texts, cores, y, strict=True):
         if not t:
             outside.update(own)
             continue
-        rare = {c for c in own if len(c) > 7}
+        words = text.lower().split()
+        triples = {hash(x) for x in zip(words, words[1:], words[2:], strict=False)}
         # copies would make every word of theirs telling
-        if not rare or 2 * len(rare & seen) < len(rare):
+        if not triples or 2 * len(triples & seen) < len(triples):
             n1 += 1
             inside.update(own)
-        seen |= rare
+        seen |= triples
     n0 = int((~y).sum())
 
     def odds(core: str) -> float:
