@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import decontam, language_model, license_scan, packing, quality_model, quality_rules, sharding, simhash, tokens, toxicity
 from pathloom.llm.common import documents
+from pathloom.llm.oracles import ORACLES
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,8 @@ def op2_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_words", "matches")
-    return found.select("doc_id", "n_words", *(c.alias(k) for k, c in license_scan.summarized(F.col("matches")).items()))
+    marks = license_scan.summarized(F.col("matches"))
+    return found.select("doc_id", "n_words", *((F.round(c, 9) if k == "score" else c).alias(k) for k, c in marks.items()))
 
 
 def op4_robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_toxicity,
     )
 }
-#: Equivalent DuckDB SQL, where SQL can express the query.
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
