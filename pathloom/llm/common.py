@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,15 +49,6 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table from written() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most `limit` rows by count, else df as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -74,10 +64,6 @@ def crc_of_id(col: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
 
 
-def crc_of_id_py(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, in pieces of at most `rows` rows and about `size` bytes of text (a longer text is alone)."""
     for batch in batches:

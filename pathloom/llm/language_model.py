@@ -235,19 +235,18 @@ def third(doc_id: str) -> Column:
     return F.coalesce(crc_of_id(doc_id) % 3 == 1, F.lit(False))
 
 
-def learn_languages(docs: DataFrame, held_out: Callable, per_language: int = 300, languages: int = 200) -> Field:
+def learn_languages(docs: DataFrame, held_out: Callable, per_language: int = 320, languages: int = 200, buckets: int = 64) -> Field:
     """A field fitted on at most `per_language` documents each of the `languages` most frequent languages of docs.lang.
 
-    The documents are those with the smallest hash of the id among rows with id, lang and text that held_out(id) leaves; they
-    are ranked in buckets first, so that no task ranks all rows of a frequent language."""
+    They are taken from the rows with id, lang and text that held_out(id) leaves: in each of some buckets by hash of the id
+    those with the smallest hashes, so that no task ranks all rows of a frequent language."""
     usable = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out("doc_id")).select("doc_id", "lang")
     top = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     key = F.xxhash64("doc_id")
-    ranked = usable.filter(F.col("lang").isin(top) if top else F.lit(False)).select("doc_id", "lang", key.alias("k")).distinct()
-    for by in (["lang", F.pmod("k", F.lit(64))], ["lang"]):
-        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("k", "doc_id"))).filter(F.col("r") <= per_language).drop("r")
-    chosen = F.broadcast(ranked.select("doc_id", "lang"))
-    rows = docs.select("doc_id", "lang", "text").filter("text is not null").join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(2 * per_language * max(1, len(top))).collect()
+    known = usable.filter(F.col("lang").isin(top) if top else F.lit(False)).select("doc_id", "lang", key.alias("k")).distinct()
+    bucket = Window.partitionBy("lang", F.pmod("k", F.lit(buckets))).orderBy("k", "doc_id")
+    chosen = F.broadcast(known.withColumn("r", F.row_number().over(bucket)).filter(F.col("r") <= -(-per_language // buckets)).select("doc_id", "lang"))
+    rows = docs.select("doc_id", "lang", "text").filter("text is not null").join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(4 * per_language * max(1, len(top))).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, r.text))
     return fit_field([r.text for r in rows], [r.lang for r in rows])
 

@@ -66,7 +66,7 @@ def place(key: Column, root: Node) -> Column:
     return descend(root)
 
 
-def shard_documents(docs: DataFrame, root: Node, buckets: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, root: Node, buckets: int = 1024) -> DataFrame:
     """docs with shard, grown_shard (with one more shard of weight 1) and slot, the row's place in its shard from 0, gapless.
 
     The shard depends on doc_id and the tree alone; all rows of one doc_id, and all without one, share a shard. Columns of
