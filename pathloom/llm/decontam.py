@@ -55,8 +55,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     hits = windows.join(small(seeds), "h").select("doc_id", "_text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
     hits = hits.groupBy("doc_id", "_text_hash", "item_id").agg(F.collect_set("start").alias("starts"))
     hits = written(hits, "hits")
-    pairs = small(hits.withColumnRenamed("doc_id", "_d").withColumnRenamed("_text_hash", "_t"))
-    laid = rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_t"))).drop("_d", "_t")
+    pairs = small(hits.withColumnRenamed("doc_id", "_leak_doc").withColumnRenamed("_text_hash", "_leak_text"))
+    laid = rows.join(pairs, F.col("doc_id").eqNullSafe(F.col("_leak_doc")) & (F.col("_text_hash") == F.col("_leak_text"))).drop("_leak_doc", "_leak_text")
     laid = laid.join(small(items), "item_id")
 
     def compared(words: Column, start: Column) -> Column:
@@ -72,6 +72,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The rows of docs whose text leaks no benchmark item; all columns stay."""
-    bad = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_d"), F.col("_text_hash").alias("_t")).distinct(), "leaks")
+    bad = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_leak_doc"), F.col("_text_hash").alias("_leak_text")).distinct(), "leaks")
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_d")) & (own == F.col("_t")), "left_anti")
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_leak_doc")) & (own == F.col("_leak_text")), "left_anti")

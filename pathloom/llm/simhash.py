@@ -141,7 +141,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     Of rows of equal doc_id in that place one stays (they are looked for first, since telling them apart shuffles texts).
     Documents without a doc_id stay only if their component has no other, and then one of them."""
     found = written(near_duplicates(docs), "classes")
-    first = found.filter("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_d"))
-    repeated = first.groupBy("_d").count().filter("count > 1").limit(1).count()
-    kept = docs.join(small(first.distinct()), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    first = found.filter("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept_doc"))
+    repeated = first.groupBy("_kept_doc").count().filter("count > 1").limit(1).count()
+    kept = docs.join(small(first.distinct()), F.col("doc_id").eqNullSafe(F.col("_kept_doc")), "left_semi")
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
