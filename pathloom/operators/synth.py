@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -47,7 +47,7 @@ class OfflineBackend:
         path = re.search(r"^Path: (.*)$", prompt, re.MULTILINE)
         hops = re.split(r" -\[(.*?)\]-> ", path[1] if path else "nothing")
         said = [f"{a} is tied to {b} by {r.replace('_', ' ').lower()}" for a, r, b in zip(hops[::2], hops[1::2], hops[2::2], strict=False)]
-        kind = zlib.crc32(prompt.encode()) % 4
+        kind = int(hashlib.md5(prompt.encode()).hexdigest()[:8], 16) % 4
         question = f"How does {hops[0]} relate to {hops[-1]}" + ("?" if kind else "")
         answer = "In short, " + ", and then ".join(said or ["nothing is known"]) + ("." if kind != 1 else "") + (" Each of these links was stated, step by step, on the way from the first to the last." if len(said) > 1 else "")
         text = json.dumps({"question": question, "answer": answer, "difficulty": ("easy", "medium", "hard")[min(len(said), 3) - 1 if said else 0]}, ensure_ascii=False)

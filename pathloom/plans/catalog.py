@@ -307,11 +307,18 @@ for _domain in prompt.TEMPLATES:
 # whole runs
 
 
-@query()
+@query(oracles.chat_sql(200, prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
 def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: graph, draws, walks, dedup, prompts, offline replies, scores, chat messages."""
     run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200))
-    return run.examples.select("draw_id", F.to_json("messages").alias("messages"), "quality_score")
+    said = lambda i: F.col("messages")[i]["content"]
+    return run.examples.select("draw_id", said(0).alias("question"), said(1).alias("answer"), "quality_score")
+
+
+@query(oracles.rejects_sql(200, prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
+def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200))
+    return run.scored.groupBy("difficulty", F.coalesce("reject_reason", F.lit("accepted")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

@@ -152,6 +152,32 @@ def prompt_sql(head: str, context: str, tail: str) -> str:
     return f"{_WALKS}, {_TEXT} SELECT draw_id, {h} || path_str || {c} || rich_context || {t} AS prompt FROM texts"
 
 
+def _run_sql(draws: int, head: str, context: str, tail: str) -> str:
+    """CTEs up to `judged`: a run's kept paths, the offline backend's replies to their prompts, and their scores."""
+    h, c, t = ("'" + x.replace("'", "''") + "'" for x in (head, context, tail))
+    walks = _WALKS.replace("range(1000)", f"range({draws})")
+    text = _TEXT.removeprefix(f"{_LONG}, ")
+    return f"""{walks}, {_fold("0.95")}, {text},
+links AS (SELECT a.draw_id, count(*) AS n, string_agg(a.label || ' is tied to ' || b.label || ' by ' || lower(replace(a.relationship, '_', ' ')), '<then>' ORDER BY a.pos) AS said FROM named a JOIN named b ON b.draw_id = a.draw_id AND b.pos = a.pos + 1 GROUP BY a.draw_id),
+ends AS (SELECT draw_id, arg_min(label, pos) AS first, arg_max(label, pos) AS last FROM named GROUP BY draw_id),
+asked AS (SELECT x.draw_id, ('0x' || substr(md5({h} || x.path_str || {c} || x.rich_context || {t}), 1, 8))::BIGINT % 4 AS kind FROM texts x WHERE x.draw_id IN (SELECT draw_id FROM kept)),
+replies AS (SELECT draw_id, CASE WHEN n = 1 THEN 'easy' WHEN n = 2 THEN 'medium' ELSE 'hard' END AS difficulty, 'How does ' || first || ' relate to ' || last || CASE WHEN kind > 0 THEN '?' ELSE '' END AS question,
+ 'In short, ' || replace(said, '<then>', CASE WHEN kind = 3 THEN ',' || chr(10) || 'and then ' ELSE ', and then ' END) || CASE WHEN kind = 1 THEN '' ELSE '.' END
+ || CASE WHEN n > 1 THEN ' Each of these links was stated, step by step, on the way from the first to the last.' ELSE '' END AS answer FROM asked JOIN links USING (draw_id) JOIN ends USING (draw_id)),
+counted AS (SELECT *, len(regexp_split_to_array(answer, '\\s+')) AS words FROM replies),
+judged AS (SELECT *, (CASE WHEN words BETWEEN 20 AND 500 THEN 0.4::DOUBLE WHEN words > 500 THEN 0.35::DOUBLE WHEN words >= 10 THEN 0.4::DOUBLE * (words::DOUBLE / 20::DOUBLE) ELSE 0.0::DOUBLE END)
+ + (CASE WHEN contains(question, '?') THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END)
+ + (CASE WHEN length(answer) >= 50 AND regexp_matches(answer, '[.!?]') THEN 0.3::DOUBLE WHEN length(answer) >= 30 THEN 0.2::DOUBLE WHEN length(answer) >= 20 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM counted)"""
+
+
+def chat_sql(draws: int, head: str, context: str, tail: str) -> str:
+    return f"{_run_sql(draws, head, context, tail)} SELECT draw_id, question, answer, least(1.0::DOUBLE, score) AS quality_score FROM judged WHERE score >= 0.7::DOUBLE"
+
+
+def rejects_sql(draws: int, head: str, context: str, tail: str) -> str:
+    return f"{_run_sql(draws, head, context, tail)} SELECT difficulty, CASE WHEN score >= 0.7::DOUBLE THEN 'accepted' ELSE 'low_score' END AS status, count(*) AS n FROM judged GROUP BY ALL"
+
+
 #: The warnings as the tier table words them.
 TIER_WARNINGS = """SELECT * FROM (VALUES ('dedup threshold 0.70 instead of 0.95: more paths count as duplicates', 1), ('quality threshold 0.5 instead of 0.7', 2), ('dedup threshold 0.60 instead of 0.95: more paths count as duplicates', 3), ('temperature 0.9 instead of 0.7', 3),
  ('dedup threshold 0.50 instead of 0.95: more paths count as duplicates', 4), ('uniform instead of degree-weighted sampling', 4), ('quality threshold 0.3 instead of 0.7', 5), ('dedup threshold 0.30 instead of 0.95: more paths count as duplicates', 5), ('temperature 1.0 instead of 0.7', 5)) t(warning, first_tier)"""
