@@ -30,6 +30,11 @@ def resolved_edges(edges: DataFrame) -> DataFrame:
     return edges.select("ord", "src", "dst", resolve.edge_relationship(F.col("attrs")).alias("relationship"), resolve.edge_reasoning(F.col("attrs")).alias("reasoning"))
 
 
+def adjacency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges with src_ord: sorted by src_ord and ord they are grouped by source, sources in node order."""
+    return edges.join(nodes.select(F.col("id").alias("src"), F.col("ord").alias("src_ord")), "src", "left")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """ord, id, degree, out_degree and in_degree of every node; a self-loop counts twice."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("x")).select("x.*")

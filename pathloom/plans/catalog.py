@@ -168,6 +168,14 @@ def edge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("ord", "src", "dst", F.col("attrs")[0]["value"].alias("weight"), F.col("attrs")[1]["value"].alias("predicate"))
 
 
+@query(oracles.EDGE_ORDER)
+def edge_scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge with its place among its source's edges."""
+    nodes, edges = trade_graph(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("src_ord").orderBy("ord", "dst"))
+    return graph.adjacency_order(nodes, edges).select("src_ord", place.cast("long").alias("place"), "src", "dst")
+
+
 @query(oracles.NODE_DEGREE)
 def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(*trade_graph(spark, sf_dir)).select("id", "degree", "out_degree", "in_degree")

@@ -73,6 +73,7 @@ EDGE_RELATIONSHIP = f"WITH {_EDGES} SELECT src, dst, relationship, reasoning FRO
 EDGE_LAST = f"WITH {_SUPPLY} SELECT ord, src, dst, weight, predicate FROM last WHERE rn = 1"
 _GRAPH = f"{_NODES}, {_EDGES}, {_DEGREES}"
 NODE_DEGREE = f"WITH {_GRAPH} SELECT id, degree, out_degree, in_degree FROM degrees"
+EDGE_ORDER = f"WITH {_NODES}, {_EDGES} SELECT n.ord AS src_ord, row_number() OVER (PARTITION BY n.ord ORDER BY e.ord, e.dst) AS place, e.src, e.dst FROM edges e JOIN nodes n ON n.id = e.src"
 GRAPH_STATS = f"WITH {_GRAPH} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, sum(degree)::BIGINT AS total_degree, greatest(max(degree), 1) AS max_degree, 2.0::DOUBLE * (SELECT count(*) FROM edges) / count(*) AS avg_degree, greatest((SELECT count(*) FROM edges), count(*)) * 2 AS capacity FROM degrees"
 KHOP = f"""WITH RECURSIVE {_NODES}, {_EDGES}, reach AS (SELECT id AS start, id, 0 AS hop FROM nodes WHERE id LIKE 'R%' UNION SELECT r.start, e.dst, r.hop + 1 FROM reach r JOIN edges e ON e.src = r.id WHERE r.hop < 3)
 SELECT start, id, min(hop)::INT AS hop FROM reach GROUP BY start, id HAVING min(hop) > 0"""
