@@ -30,9 +30,9 @@ from pathloom.llm.common import sampled, scratch_path, slices
 BLOCKS = "part int, block int, first_doc long, last_doc long, n_docs int, inner long, n_tokens long, width int, dict_hash string, doc_ids array<long>, counts array<int>, ends array<int>, payload binary"
 DECODED = "doc_id long, start long, n_tokens long, ids binary"
 #: A blank after white space, or a full stop or comma after anything but a letter or digit: no place to cut.
-_RUN, _MARKS = re.compile(r"\s "), re.compile(r"[\W_][.,]")
+_RUN, _MARKS = re.compile(r" (?<=\s )"), re.compile(r"[.,](?<=[\W_].)")
 #: The same for texts that are composed and lower-cased first, which turns some other letters into a letter and a mark.
-_LOWER_MARKS = re.compile("[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f][.,]")
+_LOWER_MARKS = re.compile("[.,](?<=[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,6 +43,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+_BLANK = _LETTERS[32]
 
 
 class PieceTokenizer:
@@ -54,7 +55,7 @@ class PieceTokenizer:
     lower-cased; a text with longer runs of white space then goes to the library as a whole, and one with other marks
     before full stops or commas is cut at blanks alone."""
 
-    def __init__(self, path: str, keeps_space: bool, most: int = 250_000):
+    def __init__(self, path: str, keeps_space: bool, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,20 +65,25 @@ class PieceTokenizer:
         self.keeps_space, self.most = keeps_space, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.lib.get_vocab_size())]
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
         """Cache pieces. Those of Latin letters alone are one word to the library, and go right to its merging step."""
-        merge, rest, young = self.model.tokenize, [], self.young
+        merge, id_bytes, rest, young = self.model.tokenize, self.id_bytes, [], self.young
         for p in pieces:
-            word = p[1:] if self.keeps_space and p[:1] == " " else p
-            raw = p if self.keeps_space else p.lower()
-            if not word.isalpha() or max(word) >= "\u0250" or not self.keeps_space and not raw.isalpha():
+            blank = self.keeps_space and p[:1] == " "
+            word = p[1:] if blank else p
+            if not self.keeps_space:
+                word = word.lower()
+            if not word.isalpha() or not word.isascii() and (max(p) >= "\u0250" or not self.keeps_space and not p.isalpha()):
                 rest.append(p)
                 continue
-            young[p] = b"".join([t.id.to_bytes(4, "little") for t in merge(raw.encode().decode("latin-1").translate(_LETTERS))])
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_LETTERS)
+            young[p] = b"".join([id_bytes[t.id] for t in merge(_BLANK + word if blank else word)])
         young.update(zip(rest, self.direct(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
