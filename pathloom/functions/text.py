@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from pathloom.model import QA
 
 
+#: The characters that count as white space at a text's ends and between its words.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def word_count(stripped: Column) -> Column:
     """Words between white space of a stripped text; 0 for an empty one."""
-    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, r"(?U)\s+")))
+    return F.when(stripped == "", 0).otherwise(F.size(F.split(stripped, f"[{SPACES}]+")))
 
 
 def unfenced(c: Column) -> Column:

@@ -7,18 +7,17 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.score import scored
+from pathloom.functions.score import with_scores
 from pathloom.functions.text import parsed, unfenced
 from pathloom.model import ValidationConfig
 
 
 def score_responses(responses: DataFrame, config: ValidationConfig = ValidationConfig()) -> DataFrame:
     """draw_id, question, answer, difficulty, scores, is_valid and reject_reason of raw replies."""
-    rows = responses.withColumn("qa", parsed(unfenced(F.col("raw"))))
-    q, a = F.col("qa.question"), F.col("qa.answer")
-    found = scored(q, a, config)
-    reason = F.when(F.coalesce(F.col("raw"), F.lit("")) == "", "no_response").when(F.col("qa").isNull(), "bad_json").otherwise(found["reject_reason"])
-    return rows.select("draw_id", q.alias("question"), a.alias("answer"), F.col("qa.difficulty").alias("difficulty"), *(v.alias(k) for k, v in found.items() if k != "reject_reason"), reason.alias("reject_reason"))
+    qa = responses.withColumn("qa", parsed(unfenced(F.col("raw"))))
+    rows = with_scores(qa.select("draw_id", "raw", F.col("qa").isNull().alias("_bad"), F.col("qa.question").alias("question"), F.col("qa.answer").alias("answer"), F.col("qa.difficulty").alias("difficulty")), F.col("question"), F.col("answer"), config)
+    reason = F.when(F.coalesce(F.col("raw"), F.lit("")) == "", "no_response").when(F.col("_bad"), "bad_json").otherwise(F.col("reject_reason"))
+    return rows.withColumn("reject_reason", reason).drop("raw", "_bad")
 
 
 def messages(question: Column, answer: Column) -> Column:

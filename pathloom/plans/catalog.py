@@ -61,7 +61,7 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, config: ValidationConfig = ValidationConfig()) -> DataFrame:
-    return qa_pairs(spark, sf_dir).withColumns(score.scored(F.col("question"), F.col("answer"), config))
+    return score.with_scores(qa_pairs(spark, sf_dir), F.col("question"), F.col("answer"), config)
 
 
 @query(oracles.QA_SCORE)
@@ -92,8 +92,8 @@ def qa_acceptance_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.QA_SWEEP)
 def qa_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = qa_pairs(spark, sf_dir)
-    marks = [F.when(score.scored(F.col("question"), F.col("answer"), ValidationConfig(t.quality_threshold, t.min_length))["is_valid"], t.number) for t in TIERS]
+    pairs = score.measured(qa_pairs(spark, sf_dir), F.col("question"), F.col("answer"))
+    marks = [F.when(score.judged(ValidationConfig(t.quality_threshold, t.min_length))["is_valid"], t.number) for t in TIERS]
     return pairs.select(F.explode(F.array(*marks)).alias("tier")).filter("tier is not null").groupBy("tier").agg(F.count(F.lit(1)).alias("accepted"))
 
 
