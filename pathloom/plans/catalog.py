@@ -189,7 +189,7 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.KHOP)
 def khop_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = trade_graph(spark, sf_dir)
-    return graph.neighbors(edges, nodes.filter("id like 'R%'"), 3)
+    return graph.neighbors(edges, nodes, 3)
 
 
 @query(oracles.SUCCESSORS)
@@ -253,7 +253,7 @@ def random_walk_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.MAXIMAL_PATHS)
 def maximal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = trade_graph(spark, sf_dir)
-    return walk.maximal_paths(edges, nodes.filter("id like 'R%'")).select("start", F.array_join("nodes", ">").alias("path"), "length")
+    return walk.maximal_paths(edges, nodes).select("start", F.array_join("nodes", ">").alias("path"), "length")
 
 
 @query(oracles.PATH_HISTOGRAM)
