@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a mask over consecutive words of which some positions are ignored. Windows of test items and of training texts
-are hashed under each mask, the hashes are joined, and around each hit the item is laid over the text and compared word by
-word: substituted words cost a position each and no more. Built of SQL functions only."""
+A seed is a mask over consecutive words of which some positions are ignored: two words count and those between them don't.
+Pairs of words of test items and of training texts are hashed under each mask and the hashes are joined. A hit with enough
+equal words in place around it has the item laid over the text and compared word by word: substituted words cost a position
+each and no more. Built of SQL functions only."""
 
 from __future__ import annotations
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import small, written
 
-#: 1: the word counts, 0: it is ignored. They fit texts in which every third, every fourth or every fifth word or none differs.
-MASKS = ("1101101", "1110101", "111101")
+#: 1: the word counts, 0: it is ignored. Of 13 words in place among 60, or of half of any 3 to 60, two are at most four apart.
+MASKS = ("11", "101", "1001", "10001")
+#: Equal words around a hit are counted so far to either side.
+REACH = 14
 SEPARATORS = r"[\x00-/:-@\[-`{-\x7F]+"
 
 
@@ -24,35 +27,57 @@ def words_of(text: Column) -> Column:
     return F.slice(raw, skip + 1, F.size(raw) - skip - last)
 
 
-def seed_hits(rows: DataFrame, words: str, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """For each window and mask: the columns `keep`, pos (of the window's first word) and h (hash of mask and counted words)."""
-    span = max(map(len, masks))
-    named = rows.select(*keep, F.col(words).alias("_w"))
-    # a window past the end has nulls for the missing words
-    shifted = [F.col("_w").alias("t0"), *(F.slice(F.col("_w"), k + 1, F.greatest(F.size("_w") - k, F.lit(0))).alias(f"t{k}") for k in range(1, span))]
-    windows = named.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "z")).select(*keep, "pos", *(F.col(f"z.t{k}").alias(f"t{k}") for k in range(span)))
-    hashes = []
-    for m, mask in enumerate(masks):
-        counted = [F.col(f"t{k}") for k, c in enumerate(mask) if c == "1"]
-        hashes.append(F.when(F.col(f"t{len(mask) - 1}").isNotNull(), F.xxhash64(F.lit(m), *counted)))
-    return windows.select(*keep, "pos", F.explode(F.array(*hashes)).alias("h")).filter("h is not null")
+def least_overlap(n: int, least_share: float, least_run: int) -> int:
+    """How many words of an item of n must stand in place at least."""
+    return min(least_run, next((k for k in range(1, n + 1) if k / n >= least_share), n + 1))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, least_share: float = 0.5, least_run: int = 13) -> DataFrame:
+def least_near(n: int, overlap: int, gap: int, reach: int) -> int:
+    """How many words, its own among them, are equal around some hit at least, if `overlap` of an item's n words are in place.
+
+    Of the item's blocks of b words, b - 1 within reach, one holds its share of them; if it holds so many that not all can
+    lie more than `gap` apart, two of them are a hit."""
+    shares = ((b, -(-overlap // -(-n // b))) for b in range(1, reach + 2))
+    return max((q for b, q in shares if q > 1 and (q - 1) * (gap + 1) > b - 1), default=1)
+
+
+def seed_hits(rows: DataFrame, words: str, keep: list[str], gaps: list[int], reach: int, pad: int) -> DataFrame:
+    """For each word and gap: the columns `keep`, pos, h (hash of gap and both words) and z (hashes t0.. of the words around)."""
+    named = rows.select(*keep, F.transform(words, lambda w: F.hash(w)).alias("_w"))
+    edge = F.array_repeat(F.lit(pad), reach)
+    named = named.select(*keep, F.size("_w").alias("_n"), F.concat(edge, F.col("_w"), edge).alias("_w"))
+    shifted = [F.slice(F.col("_w"), F.lit(k + 1), F.col("_n")).alias(f"t{k}") for k in range(2 * reach + 1)]
+    windows = named.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "z"))
+    hashes = [F.xxhash64(F.lit(g), F.col(f"z.t{reach}"), F.col(f"z.t{reach + g}")) for g in gaps]
+    return windows.select(*keep, "pos", "z", F.explode(F.array(*hashes)).alias("h"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, least_run: int = 13) -> DataFrame:
     """One row per document and item that overlap: doc_id, _text_hash, item_id, start, overlap (words equal in place), share.
 
-    A text leaks an item if, with the item laid over it at some hit of a seed, `least_share` of the item's words or
-    `least_run` of them stand in their places; of several places the best counts, the first among equals. Items with fewer
-    words than the shortest mask can't be hit. Items of equal words are all reported. Null and empty texts leak nothing;
-    rows of equal doc_id are judged each by its own text, which _text_hash tells; a null doc_id is a value like any other."""
-    spark = docs.sparkSession
+    A text leaks an item if, with the item laid over it anywhere, `least_share` of the item's words or `least_run` of them
+    stand in their places; of several places the best counts, the first among equals (among those hit by a seed). Seeds miss
+    no such place of an item whose least overlap is two words or more: wider gaps than those of MASKS are added for items
+    that need them. Items of one or two words are compared whole. Items of equal words are all reported. Null and empty
+    texts leak nothing; rows of equal doc_id are judged each by its own text, which _text_hash tells; a null doc_id is a
+    value like any other."""
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    items = written(benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).filter(F.size("item_words") >= min(map(len, masks))).distinct(), "items")
-    seeds = written(seed_hits(items, "item_words", ["item_id"], masks).select("h", "item_id", F.col("pos").alias("item_pos")).distinct(), "seeds")
+    items = written(benchmark.select("item_id", words_of(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0).distinct(), "items")
+    least = {n: least_overlap(n, least_share, least_run) for (n,) in items.select(F.size("item_words")).distinct().collect()}
+    widest = max([len(m) - 1 for m in MASKS] + [(n - 1) // (k - 1) for n, k in least.items() if 2 <= k <= n])
+    gaps, reach = [0] * (1 in least) + list(range(1, widest + 1)), max(REACH, widest)
+    near = {n: n if n < 3 else least_near(n, k, widest, reach) for n, k in least.items()} or {0: 0}
+    need = F.create_map(*(F.lit(x) for pair in near.items() for x in pair))[F.size("item_words")]
+    # a single word counts only for items of one word, and pads of texts and items differ
+    seeds = seed_hits(items.withColumn("need", need), "item_words", ["item_id", "need"], gaps, reach, 1)
+    if 0 in gaps:
+        centre = F.col(f"z.t{reach}")
+        seeds = seeds.filter((F.col("need") == 1) | (F.col("h") != F.xxhash64(F.lit(0), centre, centre)))
+    seeds = written(seeds.select("h", "item_id", "need", F.col("pos").alias("item_pos"), F.col("z").alias("item_z")).distinct(), "seeds")
     rows = docs.select("doc_id", text_hash.alias("_text_hash"), F.col("text"))
-    # each distinct hash once, to find the few windows that matter before anything is multiplied
-    windows = seed_hits(rows.select("doc_id", "_text_hash", words_of(F.col("text")).alias("w")), "w", ["doc_id", "_text_hash"], masks)
-    hits = windows.join(small(seeds), "h").select("doc_id", "_text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
+    windows = seed_hits(rows.select("doc_id", "_text_hash", words_of(F.col("text")).alias("w")), "w", ["doc_id", "_text_hash"], gaps, reach, 0)
+    alike = sum(((F.col(f"z.t{k}") == F.col(f"item_z.t{k}")).cast("int") for k in range(2 * reach + 1)), F.lit(0))
+    hits = windows.join(small(seeds), "h").filter(alike >= F.col("need")).select("doc_id", "_text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("start")).distinct()
     hits = hits.groupBy("doc_id", "_text_hash", "item_id").agg(F.collect_set("start").alias("starts"))
     hits = written(hits, "hits")
     pairs = small(hits.withColumnRenamed("doc_id", "_leak_doc").withColumnRenamed("_text_hash", "_leak_text"))
