@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pathloom.llm import decontam, license_scan
+from pathloom.llm import license_scan
 
 _SPLIT = r"[\x00-/:-@\[-`{-\x7F]+"
 
@@ -36,20 +36,13 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
  round(coalesce(score, 0)::DOUBLE, 9) AS score FROM docs d LEFT JOIN marks m ON m.doc_id = d.doc_id"""
 
 
-def decontamination_sql(masks: tuple[str, ...] = decontam.MASKS) -> str:
-    """Windows of texts and items that agree in a mask's counted words, and the overlap where such a window lays the item."""
-
-    def windows(table: str, key: str) -> str:
-        return " UNION ALL ".join(
-            f"SELECT {key}, i, {m} AS m, {' || chr(32) || '.join(f'w[i + {k}]' for k, c in enumerate(mask) if c == '1')} AS h FROM (SELECT {key}, w, unnest(range(1, len(w) - {len(mask) - 2})) AS i FROM {table})"
-            for m, mask in enumerate(masks)
-        )
-
-    return f"""WITH docs AS (SELECT doc_id, {_words("text")} AS w FROM documents), items AS (SELECT DISTINCT item_id, {_words("text")} AS w FROM benchmark),
-hits AS (SELECT DISTINCT d.doc_id, b.item_id, d.i - b.i AS start FROM ({windows("docs", "doc_id")}) d JOIN ({windows("items", "item_id")}) b ON d.m = b.m AND d.h = b.h),
-laid AS (SELECT h.*, len(list_filter(range(1, len(v.w) + 1), lambda k: h.start + k >= 1 AND d.w[greatest(h.start + k, 1)] = v.w[k])) AS overlap, len(v.w) AS n FROM hits h JOIN docs d ON d.doc_id = h.doc_id JOIN items v ON v.item_id = h.item_id),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY overlap DESC, start) AS rn FROM laid)
-SELECT doc_id, item_id, start::BIGINT AS start, overlap::INT AS overlap, overlap::DOUBLE / n AS share FROM best WHERE rn = 1 AND (overlap::DOUBLE / n >= 0.5 OR overlap >= 13)"""
+def decontamination_sql() -> str:
+    """The law without any seed: equal words of texts and items counted on each diagonal."""
+    return f"""WITH docs AS (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS own, {_words("text")} AS w FROM documents), items AS (SELECT DISTINCT item_id, {_words("text")} AS w FROM benchmark),
+dw AS (SELECT doc_id, own, unnest(w) AS x, unnest(range(len(w))) AS i FROM docs), iw AS (SELECT item_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM items),
+laid AS (SELECT d.doc_id, d.own, b.item_id, b.n, d.i - b.i AS start, count(*) AS overlap FROM dw d JOIN iw b ON d.x = b.x GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, own, item_id, n ORDER BY overlap DESC, start) AS rn FROM laid WHERE CASE WHEN n < 3 THEN overlap = n ELSE overlap::DOUBLE / n >= 0.5 OR overlap >= 13 END)
+SELECT doc_id, item_id, start::BIGINT AS start, overlap::INT AS overlap, overlap::DOUBLE / n AS share FROM best WHERE rn = 1"""
 
 
 ORACLES = {"op3_license_scan": license_sql(), "op6_spaced_seed_decontamination": decontamination_sql()}

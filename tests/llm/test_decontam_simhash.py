@@ -15,7 +15,7 @@ def _words(text):
 
 
 def _brute(docs, items):
-    """All (doc, item) that share a seed at some offset and there half of the item's words or 13."""
+    """All (doc, item) where at some offset half of the item's words or 13 are equal."""
     out = set()
     for row, (d, t) in enumerate(docs):
         w = _words(t)
@@ -23,8 +23,7 @@ def _brute(docs, items):
             v = _words(x)
             for start in range(-len(v) + 1, len(w)):
                 same = [0 <= start + k < len(w) and w[start + k] == v[k] for k in range(len(v))]
-                seed = any(all(same[k + j] for j, c in enumerate(m) if c == "1") and 0 <= start + k and start + k + len(m) <= len(w) for m in decontam.MASKS for k in range(len(v) - len(m) + 1))
-                if seed and (sum(same) >= 13 or 2 * sum(same) >= len(v)):
+                if sum(same) >= 13 or 2 * sum(same) >= len(v):
                     out.add((d, row, i))
     return {(d, i) for d, _, i in out}
 
