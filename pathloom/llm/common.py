@@ -59,6 +59,20 @@ def sampled(rows: DataFrame, n: int, *key: Column) -> DataFrame:
     return rows.orderBy(F.xxhash64(*key), *key).limit(n)
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame, on: list[str], longest: int | None = None) -> DataFrame:
+    """The columns of `chosen` (a sample of bounded size) and a text for each of its rows: that of the row of docs with equal
+    columns `on`, of several the smallest. Null texts and those of over `longest` bytes are passed over."""
+    rows = docs.select(*on, "text").filter(F.col("text").isNotNull() if longest is None else F.octet_length("text") <= longest)
+    return rows.join(F.broadcast(chosen), on).groupBy(*chosen.columns).agg(F.min("text").alias("text"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many more underscores before it as no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def crc_of_id(col: str | Column = "doc_id") -> Column:
     """Unsigned crc32 of the id written as text."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import slices, small, written
+from pathloom.llm.common import free_name, slices, small, written
 
 THRESHOLD = 3
 
@@ -44,13 +44,19 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        found = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        found = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(1)], names=["doc_id", "fp", "text_hash"])
+
+
+def text_hash(docs: DataFrame) -> Column:
+    """Tells the texts of rows of equal doc_id apart; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of each row; a null text has no words."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, fp (the 64 bits as a signed long) and text_hash of each row; a null text has no words."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"), F.col("text"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def _bits_apart(a: Column, b: Column) -> Column:
@@ -119,11 +125,8 @@ def far_edges(points: DataFrame) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs' doc_id with fp and component_id, the smallest doc_id reachable over links of at most three differing bits.
-
-    Null and empty texts and those without words have fingerprint zero and link like any other. Rows of equal doc_id are
-    kept all; a null doc_id gets the smallest id of its component, or null if that has none. An empty table gives no rows."""
+def _classified(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and text_hash of each row, top (one for each component) and component_id (its smallest doc_id)."""
     rows = written(fingerprints(docs), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     close = components(close_edges(points))
@@ -131,17 +134,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     far = components(far_edges(rooted)).select(F.col("v").alias("root"), F.col("root").alias("top"))
     topped = rooted.join(far, "root", "left").select("fp", "least", F.coalesce("top", "root").alias("top"))
     least = topped.groupBy("top").agg(F.min("least").alias("component_id"))
-    classes = written(topped.join(least, "top").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = written(topped.join(least, "top").select("fp", "top", "component_id"), "classes")
+    return rows.join(classes, "fp").select("doc_id", "fp", "text_hash", "top", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """docs' doc_id with fp and component_id, the smallest doc_id reachable over links of at most three differing bits.
+
+    Null and empty texts and those without words have fingerprint zero and link like any other. Rows of equal doc_id are
+    kept all; a null doc_id gets the smallest id of its component, or null if that has none. An empty table gives no rows."""
+    return _classified(docs).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, the one with its smallest doc_id; all columns stay.
-
-    Of rows of equal doc_id in that place one stays (they are looked for first, since telling them apart shuffles texts).
-    Documents without a doc_id stay only if their component has no other, and then one of them."""
-    found = written(near_duplicates(docs), "classes")
-    first = found.filter("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept_doc"))
-    repeated = first.groupBy("_kept_doc").count().filter("count > 1").limit(1).count()
-    kept = docs.join(small(first.distinct()), F.col("doc_id").eqNullSafe(F.col("_kept_doc")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Exactly one row of docs for each component; all columns stay.
+
+    It is the row with the component's smallest doc_id (null only where it has no other), of several of that id the one whose
+    text has the smallest hash, and of rows equal in id and text the one that sorts first by the other columns (any, where
+    a column has no order). Rows of one doc_id in different components are judged each by its own text."""
+    found = written(_classified(docs), "classified")
+    first = found.filter("doc_id is null and component_id is null or doc_id = component_id").groupBy("top").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept_doc")) & (F.col("text_hash") == F.col("_kept_text"))
+    first = first.select(F.col("doc_id").alias("_kept_doc"), F.col("text_hash").alias("_kept_text"))
+    counted = found.join(first, same).groupBy("_kept_doc", "_kept_text").count()
+    chosen = written(counted.select("_kept_doc", "_kept_text", (F.col("count") > 1).alias("_repeated")), "chosen")
+    names = {c: free_name(docs, c) for c in chosen.columns}
+    chosen = chosen.withColumnsRenamed(names)
+    doc, text, repeated = (F.col(names[c]) for c in ("_kept_doc", "_kept_text", "_repeated"))
+    ours = docs["doc_id"].cast("long").eqNullSafe(doc) & (text_hash(docs) == text)
+    kept = docs.join(small(chosen.filter(~repeated)), ours, "left_semi")
+    if chosen.filter(repeated).limit(1).count():
+        # the rare rows equal in id and text: partial minima before any shuffle
+        pick = F.first if "map<" in docs.schema.simpleString() else F.min
+        more = docs.join(small(chosen.filter(repeated)), ours).groupBy(doc, text).agg(pick(F.struct(*(docs[c] for c in docs.columns))).alias("_row"))
+        kept = kept.unionByName(more.select("_row.*"))
+    return kept

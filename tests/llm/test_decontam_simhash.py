@@ -147,10 +147,40 @@ def test_near_duplicates_of_documents(spark):
     assert got == sorted(((d, least[p]) for d, p in prints), key=str)
     kept = simhash.representatives(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 5]
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.representatives(df.limit(0)).count() == 0
 
 
+def _bodies(n):
+    return [" ".join(f"body{k}word{i}" for i in range(60)) for k in range(n)]
+
+
+A, B, C = _bodies(3)
+
+
+@pytest.mark.parametrize(("rows", "n"), [([(None, A), (None, B), (None, C)], 3), ([(5, A), (5, B)], 2), ([(5, A), (1, B), (5, B)], 2), ([(5, A), (5, A), (None, A)], 1), ([(None, A)] * 3, 1)])
+def test_one_row_stays_of_each_component(spark, rows, n):
+    df = spark.createDataFrame([(d, t, "x", "y", "z") for d, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in simhash.representatives(df).collect()]
+    assert len(kept) == n and {t for _, t in kept} == {t for _, t in rows} and set(kept) <= set(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_representatives_of_random_tables(spark, seed):
+    rng = random.Random(seed)
+    bodies = _bodies(4)
+    texts = [*bodies, *(b.upper() for b in bodies), None, "", "  "]
+    rows = [(rng.choice([None, None, 1, 2, 3, 4]), rng.choice(texts)) for _ in range(60)]
+    df = spark.createDataFrame([(d, t, f"i{k}", "y", None) for k, (d, t) in enumerate(rows)], DOCS)
+    kept = simhash.representatives(df).collect()
+    groups = _components({_fingerprint(t) for _, t in rows})
+    at = {p: i for i, g in enumerate(groups) for p in g}
+    least = {i: min((d for d, t in rows if d is not None and at[_fingerprint(t)] == i), default=None) for i in range(len(groups))}
+    assert sorted(at[_fingerprint(r.text)] for r in kept) == list(range(len(groups)))
+    assert all(r.doc_id == least[at[_fingerprint(r.text)]] for r in kept)
+    assert len({r.item_id for r in kept}) == len(kept)
+
+
 def test_near_duplicates_query(spark):
     rows = queries.op8_simhash_near_duplicates(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
