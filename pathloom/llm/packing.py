@@ -2,8 +2,8 @@
 
 A document's tokens are cut into whole windows and a tail. The histogram of the tails' lengths has fewer classes than the
 window has tokens, so it is solved on the driver at any corpus size: combinations of one to three lengths that fill a window
-exactly are enumerated, non-negative repeat counts are fitted to the histogram and rounded, what can still be combined is
-combined greedily, and the rest is laid end to end, cut only where a window ends. Each tail then finds its place by its
+exactly are enumerated, non-negative repeat counts are fitted to the histogram and rounded, residuals are packed greedily
+by as many lengths as fill a window, and the few that fill none are laid end to end, cut only where a window ends. Each tail then finds its place by its
 rank among the tails of its length."""
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import slices, small, written
 from pathloom.llm.tokens import tokenizer
 
+#: The bases of so many parts, of at most 12 bytes a length, may be broadcast; more are joined by shuffle.
+BROADCAST_PARTS = 4096
 TOKENIZED = "part int, doc_id long, n_tokens long, tail int, tail_rank long, full_rank long, ids binary"
 
 
@@ -42,7 +44,7 @@ def _tokenize(path: str, keeps_space: bool, end_id: int, window: int) -> Callabl
     return run
 
 
-def combinations(lengths: np.ndarray, window: int, steps: int = 12) -> list[tuple[int, ...]]:
+def combinations(lengths: np.ndarray, window: int, steps: int = 32) -> list[tuple[int, ...]]:
     """One to three of the lengths that sum to the window; of triples those whose second is one of about `steps` spread ones."""
     have = set(lengths.tolist())
     out: set[tuple[int, ...]] = {(a, window - a) for a in have if window - a in have and a >= window - a}
@@ -55,6 +57,24 @@ def combinations(lengths: np.ndarray, window: int, steps: int = 12) -> list[tupl
     return sorted(out, reverse=True)
 
 
+def completed(first: int, left: dict[int, int], window: int) -> tuple[int, ...] | None:
+    """Lengths that fill a window with `first`, out of those that are left: one or two that close the gap, else the longest
+    that fits and on; None if that leads nowhere."""
+    combo, gap = [first], window - first
+    while gap:
+        free = {k: n for k in left if (n := left[k] - combo.count(k)) > 0 and k <= gap}
+        if gap in free:
+            return (*combo, gap)
+        pair = next((b for b in sorted(free, reverse=True) if 2 * b >= gap and free.get(gap - b, 0) > (2 * b == gap)), None)
+        if pair:
+            return (*combo, pair, gap - pair)
+        if not free:
+            return None
+        combo.append(max(free))
+        gap -= combo[-1]
+    return tuple(combo)
+
+
 def nonnegative_least_squares(columns: list[dict[int, int]], target: dict[int, float], sweeps: int = 30) -> np.ndarray:
     """x >= 0 that brings sum(x_j * column_j) close to the target, by cyclic coordinate descent on the sparse columns."""
     x, rest = np.zeros(len(columns)), dict(target)
@@ -100,9 +120,10 @@ def plan(histogram: dict[int, int], window: int) -> tuple[list[tuple[int, int, i
     for j in np.argsort(-x, kind="stable"):
         if times := min(int(x[j]), fits(columns[j])):
             use(combos[j], times)
-    for j, combo in enumerate(combos):
-        if times := fits(columns[j]):
-            use(combo, times)
+    # the residuals, the longest first
+    for length in sorted(left, reverse=True):
+        while left[length] and (combo := completed(length, left, window)):
+            use(combo, fits({i: combo.count(i) for i in combo}))
     at = sequence * window
     for length in sorted(left, reverse=True):
         if left[length]:
@@ -128,11 +149,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024,
     by_tail = own.groupBy("part", "tail").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("tail").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     tail_bases = by_tail.select("part", "tail", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tail_base"))
+    # one row per part, with the bases of the lengths that it has
+    tail_bases = tail_bases.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("tail", "tail_base"))).alias("tail_bases"))
     parts = own.groupBy("part").agg(F.sum("full").alias("full")).withColumn("_", F.lit(0))
     full_bases = parts.select("part", F.coalesce(F.sum("full").over(Window.partitionBy("_").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full_base"))
-    bases = small(written(tail_bases.join(full_bases, "part"), "bases"))
+    bases = small(written(tail_bases.join(full_bases, "part"), "bases"), BROADCAST_PARTS)
     planned = spark.createDataFrame(places, "tail int, lo long, hi long, base long, at long, laid boolean")
-    ranked = rows.join(bases, ["part", "tail"]).withColumn("rank", F.col("tail_base") + F.col("tail_rank"))
+    ranked = rows.join(bases, "part").withColumn("rank", F.element_at("tail_bases", F.col("tail")) + F.col("tail_rank")).drop("tail_bases")
     # at most a few thousand rows: their number depends on the window alone
     placed = ranked.join(F.broadcast(planned), (ranked["tail"] == planned["tail"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left").drop(planned["tail"])
     pos = F.when(F.col("laid"), F.col("base") * window + F.col("at") + (F.col("rank") - F.col("lo")) * F.col("tail")).otherwise((F.col("base") + F.col("rank") - F.col("lo")) * window + F.col("at"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import sampled, scratch_path, slices
+from pathloom.llm.common import sampled, scratch_path, slices, texts_of, written
 
 BLOCKS = "part int, block int, first_doc long, last_doc long, n_docs int, inner long, n_tokens long, width int, dict_hash string, doc_ids array<long>, counts array<int>, ends array<int>, payload binary"
 DECODED = "doc_id long, start long, n_tokens long, ids binary"
@@ -60,7 +60,9 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        # texts with an added token go to the library as a whole; some are looked for in the normalized text
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.model = self.lib.model
         self.keeps_space, self.most = keeps_space, most
         self.young: dict[str, bytes] = {}
@@ -95,7 +97,7 @@ class PieceTokenizer:
         whole: list[int] = []
         missing: set[str] = set()
         for i, text in enumerate(texts):
-            if "\0" in text or self.keeps_space and _RUN.search(text):
+            if "\0" in text or self.keeps_space and _RUN.search(text) or self.added and self.added.search(text if self.keeps_space else text.lower()):
                 whole.append(i)
                 continue
             marked = text if (_MARKS if self.keeps_space else _LOWER_MARKS).search(text) else text.replace(".", "\0.").replace(",", "\0,")
@@ -138,13 +140,27 @@ def _narrow(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
 
 
-def _encoder(tokenizer_path: str, keeps_space: bool, end: bytes, width: int, dictionary: bytes, dict_hash: str, block_bytes: int) -> Callable:
+def _encoder(tokenizer_path: str, keeps_space: bool, end: bytes, width: int, dictionary: bytes) -> Callable:
+    """Each document's frame, with the place at which it was read."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        schema = _BLOCK_SCHEMA
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        tok, part, block = tokenizer(tokenizer_path, keeps_space), TaskContext.get().partitionId(), 0
+        tok, part, row = tokenizer(tokenizer_path, keeps_space), TaskContext.get().partitionId(), 0
+        for piece in slices(batches):
+            ids = [x + end for x in tok.encode(piece.column(1).to_pylist())]
+            n = len(ids)
+            columns = [piece.column(0), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array([press.compress(_narrow(x, width)) for x in ids], pa.binary())]
+            row += n
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_part", "_row", "n", "frame"])
+
+    return encode
+
+
+def _blocks(width: int, dict_hash: str, block_bytes: int) -> Callable:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, part, block = _BLOCK_SCHEMA, TaskContext.get().partitionId(), 0
         doc_ids: list = []
         counts: list[int] = []
         frames: list[bytes] = []
@@ -154,14 +170,12 @@ def _encoder(tokenizer_path: str, keeps_space: bool, end: bytes, width: int, dic
             columns = [[part], [block], [next((d for d in doc_ids if d is not None), None)], [doc_ids[-1]], [len(doc_ids)], [inner], [sum(counts)], [width], [dict_hash], [doc_ids], [counts], [list(accumulate(map(len, frames)))], [b"".join(frames)]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for piece in slices(batches):
-            texts = piece.column(1).to_pylist()
-            for doc_id, ids in zip(piece.column(0).to_pylist(), tok.encode(texts), strict=True):
-                ids += end
+        for piece in batches:
+            for doc_id, n, frame in zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True):
                 doc_ids.append(doc_id)
-                counts.append(len(ids) // 4)
-                frames.append(press.compress(_narrow(ids, width)))
-                total += len(frames[-1])
+                counts.append(n)
+                frames.append(frame)
+                total += len(frame)
                 if total >= block_bytes:
                     yield row()
                     inner += sum(counts)
@@ -169,31 +183,33 @@ def _encoder(tokenizer_path: str, keeps_space: bool, end: bytes, width: int, dic
         if doc_ids:
             yield row()
 
-    return encode
+    return gather
 
 
 _BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()), ("inner", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("payload", pa.binary())])
 _DECODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, keeps_space: bool = False, sample_docs: int = 1_000, dict_bytes: int = 64 << 10, block_bytes: int = 1 << 20) -> str:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, keeps_space: bool = False, sample_docs: int = 1_000, longest: int = 1 << 16, dict_bytes: int = 64 << 10, block_bytes: int = 1 << 20) -> str:
     """Encode the column text of docs and write token files in ascending doc_id order; returns their folder.
 
     A null text counts as empty, an empty one is the end id alone; a null doc_id comes first; rows of equal doc_id are kept
-    all, in the order of their texts; an empty table gives empty files. Other columns are not read. The dictionary is
-    trained on at most `sample_docs` documents (a sample by hash of the id); every document is encoded whole."""
+    all, in the order in which they were read; an empty table gives empty files. Other columns are not read. The dictionary
+    is trained on at most `sample_docs` documents (a sample by hash of the id) of at most `longest` bytes; every document is
+    encoded whole, and frames are shuffled rather than texts, in ranges that split a doc_id with many rows."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-files")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     tok = tokenizer(tokenizer_path, keeps_space)
     width = 2 if max(tok.lib.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     end = np.array([end_id], "<u4").tobytes()
-    chosen = F.broadcast(sampled(rows.select("doc_id"), sample_docs, F.col("doc_id")).distinct())
-    texts = [r.text for r in rows.join(chosen, "doc_id").limit(sample_docs).collect()]
-    dictionary = trained_dictionary([_narrow(ids + end, width) for ids in tok.encode(texts)], dict_bytes)
+    texts = [r.text for r in texts_of(rows, sampled(rows.select("doc_id"), sample_docs, F.col("doc_id")).distinct(), ["doc_id"], longest).collect()]
+    dictionary = trained_dictionary([_narrow(ids + end, width) for ids in tok.encode(sorted(texts))], dict_bytes)
     dict_hash = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encoder(tokenizer_path, keeps_space, end, width, dictionary, dict_hash, block_bytes), BLOCKS).write.parquet(f"{path}/blocks")
+    frames = written(rows.mapInArrow(_encoder(tokenizer_path, keeps_space, end, width, dictionary), "doc_id long, _part int, _row long, n int, frame binary"), "frames", "none")
+    order = ["doc_id", "_part", "_row"]
+    ordered = frames.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "frame")
+    ordered.mapInArrow(_blocks(width, dict_hash, block_bytes), BLOCKS).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(dict_hash, bytearray(dictionary))] if dictionary else [], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
     # one row per written part
     sizes = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()

@@ -4,21 +4,68 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
-from pathloom.llm import packing, tokens
+from pathloom.llm import packing, queries, tokens
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 LETTERS = ["a", "B", "é", "é", "ß", "Σ", "ΑΣ", "İ", "the", "'s", "don't", " ", "  ", "\n", "\t", "\r\n", "\xa0", "　", "\x1c", "\x85", ".", ",", "..", "!", "_", "9", "１２", "²", "½", "中文", "क़", "😀", "ﬁ", "ǅ", "ŉ", "\0", "<|endoftext|>", "́", ",a", ". "]
 
 
+_fresh = {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
+
+
+def _library(path, text):
+    """The ids by the library alone, from its own object."""
+    return np.array(_fresh[path].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext|"])
+def test_added_tokens_are_the_librarys(text):
+    for path, keeps_space in ((WORD, False), (BYTE, True)):
+        assert tokens.PieceTokenizer(path, keeps_space).encode([text]) == [_library(path, text)]
+
+
+def test_both_queries_against_the_library(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    at = 0
+    rows = sorted(queries.op1_token_files(spark, sf).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in rows] == sorted(texts)
+    for r in rows:
+        ids = _library(WORD, texts[r.doc_id]) + b"\1\0\0\0"
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids))
+        at += r.n_tokens
+    found = {d: _library(BYTE, t) + b"\0" * 4 for d, t in texts.items()}
+    pieces = queries.op9_nnls_packing(spark, sf).collect()
+    covered = {d: 0 for d in texts}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        ids = found[r.doc_id][4 * r.start : 4 * (r.start + r.length)]
+        assert (r.start, r.ids_crc32, r.doc_tokens) == (covered[r.doc_id], zlib.crc32(ids), len(found[r.doc_id]) // 4)
+        covered[r.doc_id] += r.length
+    assert covered == {d: len(x) // 4 for d, x in found.items()}
+
+
+def test_most_tails_are_placed_whole():
+    rng = random.Random(4)
+    for n in (300, 3_000, 300_000):
+        histogram = {}
+        for _ in range(n):
+            k = min(1023, max(1, int(rng.lognormvariate(5, 1))))
+            histogram[k] = histogram.get(k, 0) + 1
+        rows, _ = packing.plan(histogram, 1024)
+        laid = sum(hi - lo for _, lo, hi, _, _, laid in rows if laid)
+        assert laid <= 0.1 * n
+
+
 @pytest.mark.parametrize(("path", "keeps_space"), [(WORD, False), (BYTE, True)])
 def test_pieces_give_the_library_ids(path, keeps_space):
     rng = random.Random(11)
     texts = ["".join(rng.choice(LETTERS) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
     tok = tokens.PieceTokenizer(path, keeps_space, most=500)
     for i in range(0, len(texts), 250):
-        assert tok.encode(texts[i : i + 250]) == tok.direct(texts[i : i + 250])
+        assert tok.encode(texts[i : i + 250]) == [_library(path, t) for t in texts[i : i + 250]]
 
 
 def _docs(spark, rows):
