@@ -11,24 +11,26 @@ def _words(text: str) -> str:
     return f"list_filter(string_split_regex(lower(coalesce({text}, '')), '{_SPLIT}'), lambda x: x <> '')"
 
 
-def license_sql(templates: tuple[license_scan.Template, ...] = license_scan.BASE + license_scan.NOTICES) -> str:
+def license_sql(templates: tuple[license_scan.Template, ...] = license_scan.BASE + license_scan.NOTICES + license_scan.TEXTS) -> str:
     """For each template: the places of its key phrase, and the IDF mass of its words that stand where they belong."""
     vocabulary = sorted({w for t in templates for w in t.words.split()})
+    listed = ", ".join(f"'{w}'" for w in vocabulary)
     found = []
-    for t in templates:
+    for n, t in enumerate(templates):
         words, key = t.words.split(), t.key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
         here = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(key))
-        mass = " + ".join(f"(SELECT idf FROM idf WHERE word = '{x}')" for x in words)
-        in_place = " + ".join(f"(CASE WHEN i + {k - at} >= 1 AND w[greatest(i + {k - at}, 1)] = '{x}' THEN (SELECT idf FROM idf WHERE word = '{x}') ELSE 0 END)" for k, x in enumerate(words))
+        texts = ", ".join(f"'{x}'" for x in words)
+        mass = f"(SELECT list_sum(list_transform([{texts}], lambda x: m[x])) FROM idfs)"
+        in_place = f"list_sum(list_transform(range(1, {len(words) + 1}), lambda k: CASE WHEN i + k - {at + 1} >= 1 AND w[greatest(i + k - {at + 1}, 1)] = ([{texts}])[k] THEN m[([{texts}])[k]] ELSE 0 END))"
         found.append(
-            f"SELECT doc_id, i - 1 AS start, '{t.label}' AS label, {str(t.base).lower()} AS base, least(({in_place}) / ({mass}), 1.0) AS score, {t.least} AS least"
-            f" FROM (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: {here})) AS i FROM docs)"
+            f"SELECT doc_id, i - 1 AS start, '{t.label}' AS label, {str(t.base).lower()} AS base, least({in_place} / {mass}, 1.0) AS score, {t.least} AS least"
+            f" FROM (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: {here})) AS i FROM docs) p{n}, idfs"
         )
-    listed = ", ".join(f"'{w}'" for w in vocabulary)
     return f"""WITH docs AS (SELECT doc_id, {_words("text")} AS w FROM documents),
 df AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_intersect(list_distinct(w), [{listed}])) AS word FROM docs) GROUP BY word),
 idf AS (SELECT v.word, ln(((SELECT count(*) FROM docs) + 1)::DOUBLE / (coalesce(df.n, 0) + 1)) + 1 AS idf FROM (SELECT unnest([{listed}]) AS word) v LEFT JOIN df ON df.word = v.word),
+idfs AS (SELECT map_from_entries(list((word, idf))) AS m FROM idf),
 matches AS (SELECT * FROM ({" UNION ALL ".join(found)}) WHERE score >= least),
 marks AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM matches GROUP BY doc_id)

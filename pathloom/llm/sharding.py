@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.llm.common import free_name, small, written
+
 
 @dataclass(frozen=True)
 class Node:
@@ -45,41 +47,52 @@ def grown(root: Node, weight: float = 1.0) -> Node:
     return Node("root", (*root.children, Node(f"g{g}+{s}", (Node(f"g{g}+{s}/k", (Node(f"s{s}", (), weight, s),)),))))
 
 
-def draw(key: Column, node: Node) -> Column:
+def draw(key: Column, name: Column, weight: Column) -> Column:
     """-ln(u) / weight with u in (0, 1) from a hash of key and node: the child with the smallest wins, by weight's share."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(node.name)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.log(u) / F.lit(node.weight)
+    u = (F.shiftrightunsigned(F.xxhash64(key, name), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    return -F.log(u) / weight
 
 
 def place(key: Column, root: Node) -> Column:
-    """The shard (int) at which the key's descent ends. Only siblings' draws are compared, level by level."""
-
-    def descend(node: Node) -> Column:
-        if not node.children:
-            return F.lit(node.shard)
+    """The shard (int) at which the key's descent ends. Only siblings' draws are compared, level by level.
+
+    The tree is a table of each node's children, so that the expression grows with the levels and not with the shards."""
+    nodes, table, depth, at = [root], [], 0, 0
+    level = [root]
+    while any(n.children for n in level):
+        level, depth = [c for n in level for c in n.children], depth + 1
+    while at < len(nodes):
+        node = nodes[at]
         kids = [c for c in node.children if c.weight > 0]
-        if len(kids) == 1:
-            return descend(kids[0])
-        best = F.least(*(draw(key, c) for c in kids))
-        return reduce(lambda rest, c: F.when(draw(key, c) == best, descend(c)).otherwise(rest), reversed(kids[:-1]), descend(kids[-1]))
-
-    return descend(root)
+        # a shard above the last level draws itself
+        table.append([{"i": len(nodes) + k, "name": c.name, "w": c.weight} for k, c in enumerate(kids)] if node.children else [{"i": at, "name": node.name, "w": 1.0}])
+        nodes.extend(kids)
+        at += 1
+    children = F.from_json(F.lit(json.dumps(table)), "array<array<struct<i:int,name:string,w:double>>>")
+    shards = F.from_json(F.lit(json.dumps([n.shard for n in nodes])), "array<int>")
+    here = F.lit(0)
+    for _ in range(depth):
+        here = F.array_min(F.transform(F.get(children, here), lambda c: F.struct(draw(key, c["name"], c["w"]).alias("d"), c["i"].alias("i"))))["i"]
+    return F.get(shards, here)
 
 
 def shard_documents(docs: DataFrame, root: Node, buckets: int = 1024) -> DataFrame:
     """docs with shard, grown_shard (with one more shard of weight 1) and slot, the row's place in its shard from 0, gapless.
 
     The shard depends on doc_id and the tree alone; all rows of one doc_id, and all without one, share a shard. Columns of
-    these three names are replaced. Slots follow a hash bucket of doc_id and then doc_id, so that no task numbers a whole
-    shard; rows of equal doc_id are numbered in the order of their texts. An empty table gives no rows."""
+    these three names are replaced. Slots follow a hash bucket of the row (its columns but for the text) and then doc_id, so
+    that no task numbers a whole shard or all rows of one doc_id; rows equal in doc_id and bucket are numbered in the order
+    of their columns. An empty table gives no rows."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.drop("shard", "grown_shard", "slot")
-    dealt = {"shard": place(key, root), "grown_shard": place(key, grown(root)), "_bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")}
-    ids = docs.select("doc_id").select(dealt["shard"].alias("shard"), dealt["_bucket"].alias("_bucket"))
+    bucket, base, rank = (free_name(docs, c) for c in ("_bucket", "_base", "_rank"))
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    dealt = {"shard": place(key, root), "grown_shard": place(key, grown(root)), bucket: F.pmod(F.xxhash64(key, *hashed), F.lit(buckets)).cast("int")}
     # at most shards x buckets rows from here on
-    counts = ids.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", *(F.col(c) for c in rows.columns if c != "doc_id"))
-    numbered = rows.withColumns(dealt).withColumn("_rank", F.row_number().over(within))
-    return numbered.join(F.broadcast(bases), ["shard", "_bucket"]).withColumn("slot", F.col("_base") + F.col("_rank") - 1).drop("_bucket", "_base", "_rank")
+    counts = rows.select(dealt["shard"].alias("shard"), dealt[bucket].alias(bucket)).groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("shard", bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    ordered = [F.col(f"`{f.name}`") for f in rows.schema if f.name != "doc_id" and "map<" not in f.dataType.simpleString()]
+    within = Window.partitionBy("shard", bucket).orderBy("doc_id", *ordered)
+    numbered = rows.withColumns(dealt).withColumn(rank, F.row_number().over(within))
+    return numbered.join(small(written(bases, "bases")), ["shard", bucket]).withColumn("slot", F.col(base) + F.col(rank) - 1).drop(bucket, base, rank)

@@ -57,6 +57,14 @@ def test_sharding_of_odd_tables(spark):
     for s in {r.shard for r in found}:
         assert sorted(r.slot for r in found if r.shard == s) == list(range(sum(r.shard == s for r in found)))
     assert sharding.shard_documents(spark.createDataFrame([], DOCS), sharding.tree([1.0])).count() == 0
+    clash = spark.createDataFrame([(1, 2, 3, 4)], "doc_id long, _bucket int, _base int, _rank int")
+    assert set(clash.columns) < set(sharding.shard_documents(clash, sharding.tree([1.0] * 2)).columns)
+
+
+def test_thousands_of_shards(spark):
+    root = sharding.tree([1.0] * 3000, racks=20, per_rack=10)
+    rows = spark.range(6000).select(sharding.place(F.col("id").cast("string"), root).alias("s")).collect()
+    assert len({r.s for r in rows}) > 2000
 
 
 def test_sharding_query(spark):
@@ -102,6 +110,18 @@ def test_license_base_columns_by_brute_force(spark):
     assert by_text[None].labels == "" and by_text[None].score == 0
 
 
+def test_whole_texts_and_their_intersections(spark):
+    mit = license_scan.TEXTS[0].words
+    bent = mit.replace("without restriction", "with restriction")
+    loose = "deal software restriction " * 50
+    rows = [(1, mit.capitalize()), (2, bent), (3, loose), (4, "x " * 30 + mit.replace(" ", ", ")), (5, mit.replace("merge publish", "merge and publish"))]
+    found = license_scan.scan_licenses(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS).withColumn("_words", F.lit(1)))
+    assert "_words" in found.columns
+    got = {r.doc_id: r for r in found.select("doc_id", *(c.alias(k) for k, c in license_scan.summarized(F.col("matches")).items())).collect()}
+    assert [got[i].labels for i in range(1, 5)] == ["mit-notice,mit-text", "mit-notice", "", "mit-notice,mit-text"]
+    assert got[5].labels == "mit-notice"  # words after the one put in stand elsewhere
+
+
 def test_license_query_on_documents(spark):
     rows = queries.op3_license_scan(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
