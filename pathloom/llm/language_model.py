@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import crc_of_id, slices
+from pathloom.llm.common import crc_of_id, slices, texts_of
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -186,7 +186,7 @@ def fit_field(texts: list[str], langs: list[str], length: int = 120, passes: int
     listed = list(types)
     known = np.array([entries.get(w, -1) for w in listed])
     sums = [np.zeros_like(w) + 1e-3 for w in (out.grams, out.entries, out.start, out.transitions)]
-    batches = max(1, rows // 500)
+    batches = max(1, rows // max(16, min(500, 4000 // n_lang)))
     for _ in range(passes):
         for part in np.array_split(rng.permutation(rows), batches):
             bx, by = x[part], y[part]
@@ -211,8 +211,10 @@ def fit_field(texts: list[str], langs: list[str], length: int = 120, passes: int
                 beta[:, t] = b / b.sum(axis=1, keepdims=True)
             p = alpha * beta
             p /= p.sum(axis=2, keepdims=True)
-            pairs = alpha[:, :-1, :, None] * moves * (e[:, 1:] * beta[:, 1:])[:, :, None, :]
-            pairs /= pairs.sum(axis=(2, 3), keepdims=True)
+            # the posteriors of neighbours, summed over all places by one product of matrices
+            ahead = e[:, 1:] * beta[:, 1:]
+            before = alpha[:, :-1] / ((alpha[:, :-1] @ moves) * ahead).sum(axis=2, keepdims=True)
+            pairs = moves * (before.reshape(-1, n_lang).T @ ahead.reshape(-1, n_lang))
             gold = np.eye(n_lang)[by]
             off = gold - p
             word_off = np.stack([np.bincount(inverse.ravel(), off[..., k].ravel(), len(used)) for k in range(n_lang)], axis=1)
@@ -221,7 +223,7 @@ def fit_field(texts: list[str], langs: list[str], length: int = 120, passes: int
                 np.stack([np.bincount(grams, word_off[owner, k], _TABLE) for k in range(n_lang)], axis=1),
                 np.stack([np.bincount(lex[lex >= 0], word_off[lex >= 0, k], len(entries)) for k in range(n_lang)], axis=1) if len(entries) else np.zeros((0, n_lang)),
                 off[:, 0].sum(axis=0),
-                gold_pairs - pairs.sum(axis=(0, 1)),
+                gold_pairs - pairs,
             ]
             for w, g, s in zip((out.grams, out.entries, out.start, out.transitions), steps, sums, strict=True):
                 g = g / bx.size - decay / len(languages) * w
@@ -235,18 +237,17 @@ def third(doc_id: str) -> Column:
     return F.coalesce(crc_of_id(doc_id) % 3 == 1, F.lit(False))
 
 
-def learn_languages(docs: DataFrame, held_out: Callable, per_language: int = 320, languages: int = 200, buckets: int = 64) -> Field:
-    """A field fitted on at most `per_language` documents each of the `languages` most frequent languages of docs.lang.
+def learn_languages(docs: DataFrame, held_out: Callable, per_language: int = 320, longest: int = 1 << 16, buckets: int = 64) -> Field:
+    """A field fitted on at most `per_language` documents each of all languages of docs.lang.
 
-    They are taken from the rows with id, lang and text that held_out(id) leaves: in each of some buckets by hash of the id
-    those with the smallest hashes, so that no task ranks all rows of a frequent language."""
-    usable = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out("doc_id")).select("doc_id", "lang")
-    top = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    key = F.xxhash64("doc_id")
-    known = usable.filter(F.col("lang").isin(top) if top else F.lit(False)).select("doc_id", "lang", key.alias("k")).distinct()
-    bucket = Window.partitionBy("lang", F.pmod("k", F.lit(buckets))).orderBy("k", "doc_id")
-    chosen = F.broadcast(known.withColumn("r", F.row_number().over(bucket)).filter(F.col("r") <= -(-per_language // buckets)).select("doc_id", "lang"))
-    rows = docs.select("doc_id", "lang", "text").filter("text is not null").join(chosen, ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(4 * per_language * max(1, len(top))).collect()
+    They are those with the smallest hashes of the id among the rows with id, lang and a text of at most `longest` bytes that
+    held_out(id) leaves. Buckets by that hash are ranked first, so that no task ranks all rows of a frequent language. Of
+    rows of equal doc_id and lang the smallest text teaches."""
+    usable = docs.filter("doc_id is not null and lang is not null").filter(F.octet_length("text") <= longest).filter(~held_out("doc_id"))
+    known = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("k")).distinct()
+    for group in (Window.partitionBy("lang", F.pmod("k", F.lit(buckets))), Window.partitionBy("lang")):
+        known = known.withColumn("r", F.row_number().over(group.orderBy("k", "doc_id"))).filter(F.col("r") <= per_language)
+    rows = texts_of(docs, known.select("doc_id", "lang"), ["doc_id", "lang"], longest).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, r.text))
     return fit_field([r.text for r in rows], [r.lang for r in rows])
 
@@ -261,7 +262,7 @@ def predict_languages(docs: DataFrame, model: Field, lang_pred: str = "lang_pred
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in slices(batches, rows=256, size=1 << 20):
+        for b in slices(batches, rows=256, size=max(1 << 16, (4 << 20) // max(len(model.languages), 4))):
             found = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for k, _ in found]), pa.array([s for _, s in found])], names=[*b.schema.names, lang_pred, score])
 

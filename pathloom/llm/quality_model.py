@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import docstats
-from pathloom.llm.common import crc_of_id, sampled, slices
+from pathloom.llm.common import crc_of_id, sampled, slices, texts_of
 
 
 @dataclass
@@ -82,10 +82,11 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_quality(docs: DataFrame, labels: DataFrame, held_out: Callable, most: int = 12_000) -> Forest:
     """A forest fitted on at most `most` labelled documents (a sample by hash of the id), none of which held_out(id) picks.
 
-    Rows without an id or with a label other than 0 and 1 teach nothing."""
+    Rows without an id or with a label other than 0 and 1 teach nothing, nor do null texts; of rows of equal doc_id the
+    smallest text does."""
     usable = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out("doc_id")).select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
-    chosen = F.broadcast(sampled(usable, most, F.col("doc_id"), F.col("label")))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text").mapInArrow(_vectors, "label int, x array<double>").limit(2 * most).collect()
+    rows = texts_of(docs, sampled(usable, most, F.col("doc_id"), F.col("label")), ["doc_id"])
+    rows = rows.select("label", "text").mapInArrow(_vectors, "label int, x array<double>").collect()
     rows.sort(key=lambda r: (r.x, r.label))
     x = np.array([r.x for r in rows], float).reshape(len(rows), docstats.N_FEATURES)
     return fit_forest(x, np.array([r.label for r in rows], float))

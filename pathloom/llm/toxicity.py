@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import crc_of_id, sampled, slices
+from pathloom.llm.common import crc_of_id, sampled, slices, texts_of
 
 ORDER, DECAY, WIDTH, SHARPNESS = 3, 0.5, 14, 1.5
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -294,13 +294,14 @@ def third(doc_id: str) -> Column:
     return F.coalesce(crc_of_id(doc_id) % 3 == 1, F.lit(False))
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, held_out: Callable, most: int = 1_500) -> Machine:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, held_out: Callable, most: int = 1_500, longest: int = 1 << 16) -> Machine:
     """A machine fitted on at most `most` toxic and twice as many clean labelled documents that held_out(id) leaves.
 
-    They are the documents with the smallest hash of the id. Rows without an id or with another label teach nothing."""
+    They are the documents with the smallest hash of the id; texts of over `longest` bytes are passed over, which bounds what
+    the driver holds. Rows without an id or with another label teach nothing; of rows of equal doc_id the smallest text does."""
     usable = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out("doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     chosen = sampled(usable.filter("toxic = 1"), most, F.col("doc_id")).union(sampled(usable.filter("toxic = 0"), 2 * most, F.col("doc_id")))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").limit(6 * most).collect()
+    rows = texts_of(docs, chosen, ["doc_id"], longest).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text, r.toxic))
     return fit_machine([r.text for r in rows], [r.toxic for r in rows])
 

@@ -111,6 +111,29 @@ def test_forward_backward_by_brute_force():
         assert np.allclose(p, mass / mass.sum(axis=1, keepdims=True))
 
 
+def test_rare_languages_are_learned_and_many_fit():
+    rng = np.random.default_rng(4)
+    texts, langs = [], []
+    for k in range(60):
+        stem = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(20)]
+        for _ in range(2):
+            texts.append(" ".join(rng.choice(stem, 60)))
+            langs.append(f"l{k}")
+    model = language_model.fit_field(texts, langs)
+    assert len(model.languages) == 60
+    assert np.mean([p == k for (p, _), k in zip(model.predict(texts), langs, strict=True)]) > 0.9
+
+
+def test_training_rows_are_defined(spark):
+    rows = [(i, f"mot numero {i} " * 3, "fr") for i in range(40)] + [(7, "another text of seven", "fr"), (8, "x " * 40_000, "de"), (None, "no id", "en"), (9, None, "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    for n in (1, 3):
+        fitted = language_model.learn_languages(df.repartition(n), language_model.third, per_language=5)
+        seen.append((fitted.languages, sorted(fitted.lexicon), fitted.transitions.round(9).tolist()))
+    assert seen[0] == seen[1] and seen[0][0] == ["fr"]
+
+
 def test_grams_by_brute_force():
     words = ["a", "été", "languages"]
     hashes, starts = language_model.gram_rows(words)
