@@ -41,19 +41,23 @@ def least_overlap(n: int, least_share: float, least_run: int) -> int:
     return min(least_run, next((k for k in range(1, n + 1) if k / n >= least_share), n + 1))
 
 
-def least_span(n: int, overlap: int) -> int:
-    """The shortest window such that any `overlap` of n places have three in one, so that masks of that span miss nothing.
-
-    Where only two or one are asked for, they are all that counts and any item is one window."""
-    return next((b for b in range(3, n) if 2 * (n // b) + min(2, n % b) < overlap), n)
-
-
 def least_near(n: int, overlap: int, span: int) -> tuple[int, int]:
     """(q, r): any `overlap` of n places have, from r of them on, q within the next `span` places, their own included."""
     q = max((q for q in range(1, overlap + 1) if (q - 1) * (n // span) + min(q - 1, n % span) < overlap), default=1)
     return q, max(1, overlap - q + 1 - (q - 1) * ((n - 1) // span))
 
 
+def least_span(n: int, overlap: int) -> int:
+    """The shortest window such that any `overlap` of n places have three in one, and so seldom by chance that few places are
+    compared in vain: four in one, or three in three of them. Where one or two count, any item is one window."""
+
+    def enough(b: int) -> bool:
+        q, r = least_near(n, overlap, b)
+        return q > 3 or q == 3 and r >= min(3, overlap - 2)
+
+    return next((b for b in range(3, n) if enough(b)), n)
+
+
 def windows(rows: DataFrame, words: str, keep: list[str], span: int) -> DataFrame:
     """One row per word: the columns `keep`, pos, and the hashes t0 to t(span - 1) of it and the words after it (null past the end)."""
     shifted = [F.col(words).alias("t0"), *(F.slice(F.col(words), k + 1, F.greatest(F.size(words) - k, F.lit(0))).alias(f"t{k}") for k in range(1, span))]
@@ -71,7 +75,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5
 
     A text leaks an item if, with the item laid over it anywhere, `least_share` of the item's words or `least_run` of them
     stand in their places (items of one or two words: all); of several places the best counts, the first among equals. No
-    such place is missed: the masks span as many words as the benchmark's lengths ask for (least_span), which is a sixth of
+    such place is missed: the masks span as many words as the benchmark's lengths ask for (least_span), which is a fifth of
     an item of over 26 words, so that their number grows with the longest item. Items of equal words are all reported. Null
     and empty texts leak nothing; rows of equal doc_id are judged each by its own text, which _text_hash tells; a null
     doc_id is a value like any other."""
@@ -81,8 +85,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5
     least = {n: k for n, k in least.items() if k <= n}
     spans = {n: least_span(n, k) for n, k in least.items()} or {1: 1}
     span, few = max(spans.values()), {n for n in least if least[n] < 3}
-    near = {n: (k, 1) if n in few else least_near(n, k, spans[n]) for n, k in least.items()} or {1: (1, 1)}
-    gaps = sorted({g for n, b in spans.items() for g in ([0] if b == 1 else range(1, b - (n not in few)))})
+    spans = {n: b if n in few else span for n, b in spans.items()}
+    near = {n: (k, 1) if n in few else least_near(n, k, span) for n, k in least.items()} or {1: (1, 1)}
+    gaps = sorted({g for n, b in spans.items() for g in ([0] if b == 1 else range(1, min(b, n) - (n not in few)))})
     look = lambda of: F.create_map(*(F.lit(x) for n in spans for x in (n, of(n))))[F.size("item_words")]
     marked = items.select("item_id", "item_words", look(spans.get).alias("own"), look(lambda n: near[n][0]).alias("need"), look(lambda n: near[n][1]).alias("rows")).filter("own is not null")
     seeds = windows(marked, "item_words", ["item_id", "own", "need", "rows"], span)
@@ -103,7 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5
     hits = written(hits.filter("n >= rows").groupBy(*key).agg(F.collect_set(F.struct("item_id", "start")).alias("places")), "hits")
     pairs = small(hits.withColumnsRenamed({"doc_id": "_leak_doc", "_text_hash": "_leak_text"}))
     same = F.col("doc_id").eqNullSafe(F.col("_leak_doc")) & (F.col("_text_hash") == F.col("_leak_text"))
-    laid = rows.join(pairs, same).select(*key, "places", words_of(F.col("text")).alias("w")).dropDuplicates(key)
+    laid = rows.join(pairs, same).select(*key, "places", words_of(F.col("text")).alias("w"))
 
     # only the words under an item leave the text
     under = F.transform("places", lambda p: F.struct(p.item_id.alias("item_id"), p.start.alias("start")))
