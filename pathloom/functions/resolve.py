@@ -15,8 +15,7 @@ DEFAULT_RELATIONSHIP = "RELATED_TO"
 
 def value(attrs: Column, key: str) -> Column:
     """The last value under that key, or null."""
-    found = F.filter(attrs, lambda p: p.key == key)
-    return F.get(found, F.size(found) - 1)["value"]
+    return F.try_element_at(F.filter(attrs, lambda p: p.key == key), F.lit(-1))["value"]
 
 
 def _truthy(p: Column) -> Column:
@@ -25,8 +24,10 @@ def _truthy(p: Column) -> Column:
 
 
 def _first_of(attrs: Column, keys: tuple[str, ...]) -> Column:
-    good = F.filter(attrs, _truthy)
-    return F.coalesce(*(value(good, k) for k in keys))
+    """The truthy value under the first of the keys that has one, of several the last: one pass over the bag."""
+    order = F.array(*map(F.lit, keys))
+    good = F.filter(attrs, lambda p: p.key.isin(*keys) & _truthy(p))
+    return F.array_min(F.transform(good, lambda p, i: F.struct(F.array_position(order, p.key).alias("k"), (-i).alias("i"), p.value.alias("v"))))["v"]
 
 
 def _first_other(attrs: Column, never: tuple[str, ...]) -> Column:

@@ -28,7 +28,7 @@ def unfenced(c: Column) -> Column:
 
 
 #: One JSON string literal.
-_LITERAL = r'"(?:[^"\\]|\\.)*+"'
+_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 def repaired(c: Column) -> Column:
@@ -40,13 +40,21 @@ def repaired(c: Column) -> Column:
 
 
 def _closed(c: Column) -> Column:
-    """Whether nothing but one object stands in the text: from_json would pass over what follows it."""
-    bare = F.regexp_replace(c, f"(?s){_LITERAL}", '""')
-    return bare.rlike(r"^\{[^{}]*\}$")
+    """Whether nothing but one object, nested or not, stands in the text: from_json would pass over what follows it."""
+    bare = F.regexp_replace(c, f"(?s){_LITERAL}", "")
+    brackets = F.split(F.regexp_replace(bare, r"[^{}\[\]]+", ""), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc.depth + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc.ends + F.when((x != "") & (depth <= 0), 1).otherwise(0)).alias("ends"))
+
+    whole = F.aggregate(brackets, start, step)
+    return bare.rlike(r"(?s)^\{.*\}$") & (whole["depth"] == 0) & (whole["ends"] == 1)
 
 
 def parsed(clean: Column) -> Column:
-    """question, answer and difficulty of a cleaned reply, or null if it is not one flat JSON object."""
+    """question, answer and difficulty of a cleaned reply, or null if it is not one JSON object; other keys may hold anything."""
     strict = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
     found = F.from_json(clean, QA, strict)
     again = F.from_json(repaired(clean), QA, strict)

@@ -15,6 +15,20 @@ RESPONSES = "draw_id long, prompt string, raw string, prompt_tokens long, comple
 INPUT_PRICE, OUTPUT_PRICE = 0.0004, 0.0016
 
 
+def env_lines(path: str) -> dict[str, str]:
+    """The NAME=value lines of a file, without quotes around values; none if there is no such file."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as lines:
+        pairs = [line.strip().removeprefix("export ").partition("=") for line in lines if "=" in line and not line.lstrip().startswith("#")]
+    return {k.strip(): v.strip().strip("\"'") for k, _, v in pairs}
+
+
+def _within(name: str, value: float, least: float, most: float) -> None:
+    if not least <= value <= most:
+        raise ValueError(f"{name} must lie between {least} and {most}, not be {value}")
+
+
 @dataclass(frozen=True)
 class BackendConfig:
     """Where a remote text generator is reached; the offline backend needs none of it."""
@@ -27,11 +41,16 @@ class BackendConfig:
     retry_delay: float = 1.0
     input_price: float = INPUT_PRICE
     output_price: float = OUTPUT_PRICE
+    #: Prompts under way at a time in each task, and the number of tasks (0: as the prompts come).
+    concurrency: int = 8
+    partitions: int = 0
 
     @classmethod
-    def from_env(cls, prefix: str = "PATHLOOM_", **more: object) -> BackendConfig:
+    def from_env(cls, prefix: str = "PATHLOOM_", env_file: str | None = None, **more: object) -> BackendConfig:
+        """Settings of the environment, and where it lacks them those of a file of NAME=value lines, if it is there."""
         names = ("api_key", "endpoint", "deployment")
-        return cls(**{n: os.environ.get(prefix + n.upper(), "") for n in names}, **more)
+        known = env_lines(env_file) if env_file else {}
+        return cls(**{n: os.environ.get(prefix + n.upper()) or known.get(prefix + n.upper(), "") for n in names}, **more)
 
     def missing(self) -> list[str]:
         """The settings that a remote backend would still need."""
@@ -59,6 +78,9 @@ class ValidationConfig:
     min_length: int = 20
     max_length: int = 500
 
+    def __post_init__(self) -> None:
+        _within("quality_threshold", self.quality_threshold, 0, 1)
+
 
 @dataclass(frozen=True)
 class GenerationConfig:
@@ -67,6 +89,10 @@ class GenerationConfig:
     temperature: float = 0.7
     max_tokens: int = 500
 
+    def __post_init__(self) -> None:
+        _within("count", self.count, 0, float("inf"))
+        _within("temperature", self.temperature, 0, 2)
+
 
 @dataclass(frozen=True)
 class Tier:

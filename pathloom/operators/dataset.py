@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pathloom.functions.score import with_scores
@@ -40,8 +41,19 @@ def quality_report(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total_examples"), F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("avg_quality"), F.min("quality_score").alias("min_quality"), F.max("quality_score").alias("max_quality"))
 
 
+def _in_order(found: DataFrame) -> Iterator[Row]:
+    return found.orderBy(*(c for c in ("tier", "draw_id") if c in found.columns)).toLocalIterator()
+
+
 def write_jsonl(found: DataFrame, path: str) -> None:
-    """JSON lines in a folder of part files, without the scores."""
+    """JSON lines in one local file, without scores, row by row through the driver, as fine-tuning services take them."""
+    with open(path, "w", encoding="utf-8") as out:
+        for r in _in_order(found):
+            out.write(json.dumps({"messages": [m.asDict() for m in r.messages]}, ensure_ascii=False) + "\n")
+
+
+def write_jsonl_parts(found: DataFrame, path: str) -> None:
+    """JSON lines in a folder of part files, without scores, written by the executors."""
     found.select("messages").write.mode("overwrite").json(path)
 
 
@@ -49,7 +61,13 @@ def write_json(found: DataFrame, path: str) -> None:
     """One pretty JSON array in a local file, with scores, row by row through the driver."""
     with open(path, "w", encoding="utf-8") as out:
         out.write("[")
-        for i, r in enumerate(found.orderBy(*(c for c in ("tier", "draw_id") if c in found.columns)).toLocalIterator()):
+        for i, r in enumerate(_in_order(found)):
             row = {"messages": [m.asDict() for m in r.messages], "quality_score": r.quality_score}
             out.write((",\n" if i else "\n") + json.dumps(row, ensure_ascii=False, indent=2))
         out.write("\n]\n")
+
+
+def first_examples(found: DataFrame, n: int = 5) -> list[dict]:
+    """The first examples for a look (their number is the feature)."""
+    order = [c for c in ("tier", "draw_id") if c in found.columns]
+    return [{"question": r.messages[0].content, "answer": r.messages[1].content, "quality_score": r.quality_score} for r in found.orderBy(*order).limit(n).collect()]

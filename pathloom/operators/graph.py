@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import resolve
+from pathloom.functions.draws import uniform
 from pathloom.operators.scratch import written
 
 #: Colours of the node export.
@@ -66,6 +67,12 @@ def neighbors(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
     return seen.filter("hop > 0")
 
 
+def successors(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start and id for the direct successors of each start (column id), itself among them where it has a self-loop."""
+    known = starts.select(F.col("id").alias("start")).distinct()
+    return edges.select(F.col("src").alias("start"), F.col("dst").alias("id")).distinct().join(known, "start", "left_semi")
+
+
 def ranked(df: DataFrame, order: str, name: str, buckets: int = 64) -> DataFrame:
     """df with the dense rank from 0 of its distinct longs `order` as `name`.
 
@@ -88,7 +95,7 @@ def node_export(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = d.join(bags, "id").join(labels, "id").withColumn("_k", F.lit(1)).join(F.broadcast(top), "_k")
     rest = F.transform(F.filter("attrs", lambda a: ~a.key.isin(*resolve.LABELS)), lambda a: F.concat(F.lit("<br>"), a.key, F.lit(": "), F.coalesce(a.value, F.lit(""))))
     tip = F.concat(F.lit("<b>"), "label", F.lit("</b><br>ID: "), "id", F.lit("<br>Connections: "), F.col("degree").cast("string"), F.array_join(rest, ""))
-    colour = F.element_at(F.array(*map(F.lit, PALETTE)), (F.pmod(F.xxhash64("id"), F.lit(len(PALETTE))) + 1).cast("int"))
+    colour = F.element_at(F.array(*map(F.lit, PALETTE)), (uniform(F.col("id")) % len(PALETTE) + 1).cast("int"))
     return rows.select("id", "label", (F.lit(15.0) + F.lit(20.0) * F.col("degree") / F.col("m")).alias("size"), colour.alias("colour"), tip.alias("tooltip"))
 
 

@@ -7,7 +7,8 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import pandas as pd
@@ -66,11 +67,17 @@ class RemoteBackend:
             raise ValueError(f"missing settings: {', '.join(config.missing())}")
         self.config = config
 
+    def __getstate__(self) -> dict:
+        """A key out of the environment stays out of tasks: the executor reads its own."""
+        c = self.config
+        return {"config": replace(c, api_key="") if c.api_key == BackendConfig.from_env().api_key else c}
+
     def complete(self, system: str, prompt: str, temperature: float, max_tokens: int) -> Reply:
+        import http.client
         import urllib.error
         import urllib.request
 
-        c = self.config
+        c = self.config if self.config.api_key else replace(self.config, api_key=BackendConfig.from_env().api_key)
         body = {"messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}], "temperature": temperature, "max_tokens": max_tokens}
         url = f"{c.endpoint.rstrip('/')}/openai/deployments/{c.deployment}/chat/completions?api-version={c.api_version}"
         request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "api-key": c.api_key})
@@ -79,6 +86,9 @@ class RemoteBackend:
                 found = json.load(answer)
         except urllib.error.HTTPError as e:
             raise (RateLimited if e.code == 429 else BackendError)(str(e)) from e
+        except (OSError, http.client.HTTPException) as e:
+            # no connection, a broken one or a time-out
+            raise BackendError(str(e)) from e
         usage = found.get("usage") or {}
         return Reply(found["choices"][0]["message"].get("content"), usage.get("prompt_tokens", 0), usage.get("completion_tokens", 0))
 
@@ -104,18 +114,20 @@ def with_retries(backend: SynthBackend, prompt: str, gen: GenerationConfig, conf
 
 
 def synthesize(prompts: DataFrame, backend: SynthBackend | None = None, gen: GenerationConfig = GenerationConfig(), config: BackendConfig = BackendConfig()) -> DataFrame:
-    """One row per prompt (draw_id, prompt) with the raw reply, tokens and status. Write it before it is used twice."""
+    """One row per prompt (draw_id, prompt) with the raw reply, tokens and status. Write it before it is used twice.
+
+    Each task has config.concurrency prompts under way at a time; config.partitions, if set, is the number of tasks."""
     backend = backend or OfflineBackend()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for draw_id, text in zip(b["draw_id"], b["prompt"], strict=True):
-                reply, status = with_retries(backend, text, gen, config)
-                rows.append((draw_id, text, reply.text, reply.prompt_tokens, reply.completion_tokens, status))
-            yield pd.DataFrame(rows, columns=["draw_id", "prompt", "raw", "prompt_tokens", "completion_tokens", "status"])
-
-    return prompts.select("draw_id", "prompt").mapInPandas(run, RESPONSES)
+        with ThreadPoolExecutor(max(1, config.concurrency)) as pool:
+            for b in batches:
+                replies = pool.map(lambda text: with_retries(backend, text, gen, config), b["prompt"])
+                rows = [(draw_id, text, r.text, r.prompt_tokens, r.completion_tokens, status) for draw_id, text, (r, status) in zip(b["draw_id"], b["prompt"], replies, strict=True)]
+                yield pd.DataFrame(rows, columns=["draw_id", "prompt", "raw", "prompt_tokens", "completion_tokens", "status"])
+
+    asked = prompts.select("draw_id", "prompt")
+    return (asked.repartition(config.partitions, "draw_id") if config.partitions else asked).mapInPandas(run, RESPONSES)
 
 
 def cost_report(responses: DataFrame, input_price: float = BackendConfig.input_price, output_price: float = BackendConfig.output_price) -> DataFrame:

@@ -44,17 +44,19 @@ def walk_losses(walks: DataFrame) -> DataFrame:
 
 
 def maximal_paths(edges: DataFrame, starts: DataFrame, max_hops: int = 999) -> DataFrame:
-    """start, nodes and length of every maximal simple path of more than one node from the starts (column id)."""
+    """start, nodes and length of every maximal simple path of more than one node from the starts (column id).
+
+    A round is one outer join on the last node: a path without an unvisited successor comes out of it unextended and is done."""
     steps = written(edges.select("src", "dst").distinct(), "steps")
-    active = written(starts.select(F.col("id").alias("start"), F.col("id").alias("cur"), F.array("id").alias("nodes")), "paths")
+    active = starts.select(F.col("id").alias("start"), F.col("id").alias("cur"), F.array("id").alias("nodes"))
     out = None
     for _ in range(max_hops):
-        grown = active.join(steps, active["cur"] == steps["src"]).filter(~F.array_contains("nodes", F.col("dst")))
-        grown = written(grown.select("start", "nodes", F.col("dst").alias("cur"), F.array_append("nodes", F.col("dst")).alias("more")), "paths")
-        stuck = active.join(grown.select("nodes").distinct(), "nodes", "left_anti").filter(F.size("nodes") > 1).select("start", "nodes")
+        onward = (F.col("cur") == steps["src"]) & ~F.array_contains("nodes", F.col("dst"))
+        grown = written(active.join(steps, onward, "left").select("start", "nodes", "dst"), "paths")
+        stuck = grown.filter(F.col("dst").isNull() & (F.size("nodes") > 1)).select("start", "nodes")
         out = stuck if out is None else out.unionByName(stuck)
-        active = grown.select("start", "cur", F.col("more").alias("nodes"))
-        if not grown.limit(1).count():
+        active = grown.filter("dst is not null").select("start", F.col("dst").alias("cur"), F.array_append("nodes", F.col("dst")).alias("nodes"))
+        if not active.limit(1).count():
             break
     else:
         last = active.select("start", "nodes")

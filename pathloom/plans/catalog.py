@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions import score, text
-from pathloom.model import TIERS, GenerationConfig, ValidationConfig
+from pathloom.functions import resolve, score, text
+from pathloom.model import ATTRS, EDGES, TIERS, GenerationConfig, TierResult, ValidationConfig
 from pathloom.operators import dataset, dedup, graph, prompt, render, sample, synth, walk
 from pathloom.operators.scratch import shared_folder, written
 from pathloom.plans import generate, oracles
@@ -103,18 +103,24 @@ def messages_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("src", "id", F.col("messages")[0]["role"].alias("first_role"), F.col("messages")[0]["content"].alias("first_content"), F.col("messages")[1]["role"].alias("second_role"), F.md5(F.col("messages")[1]["content"].cast("binary")).alias("second_md5"), "quality_score")
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with a draw_id: their id and, as its last digit, where they come from."""
+    order = F.array(*map(F.lit, ("talk", "document", "source", "item", "part", "brand", "event", "nation")))
+    return qa_pairs(spark, sf_dir).withColumn("draw_id", F.col("id") * 10 + F.array_position(order, F.col("src")))
+
+
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """draw_id and raw: the dialogue pairs as JSON replies, of which some are fenced."""
-    pairs = qa_pairs(spark, sf_dir).filter("src = 'talk'")
-    body = F.to_json(F.struct("question", "answer", F.lit("easy").alias("difficulty")))
+    """draw_id and raw: all pairs as JSON replies, of which some are fenced."""
+    pairs = _numbered(spark, sf_dir)
+    body = F.to_json(F.struct("question", "answer", F.lit("easy").alias("difficulty")), {"ignoreNullFields": "false"})
     raw = F.when(F.col("id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("id") % 3 == 1, F.concat(F.lit("  ```\n"), body, F.lit("```  \n"))).otherwise(body)
-    return pairs.select(F.col("id").alias("draw_id"), raw.alias("raw"), "question", "answer")
+    return pairs.select("draw_id", raw.alias("raw"), "question", "answer")
 
 
 @query(oracles.CLEAN)
 def clean_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _replies(spark, sf_dir).withColumn("clean", text.unfenced(F.col("raw")))
-    return found.select("draw_id", F.get_json_object("clean", "$.question").alias("question"), F.substring("clean", 1, 1).alias("opens"), F.substring("clean", -1, 1).alias("closes"))
+    return found.select("draw_id", "question", F.md5(F.col("clean").cast("binary")).alias("clean_md5"))
 
 
 @query(oracles.PARSED)
@@ -126,16 +132,16 @@ def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.REPAIRED)
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies whose strings hold raw line breaks and tabs."""
-    pairs = qa_pairs(spark, sf_dir).filter("src = 'talk'")
+    pairs = _numbered(spark, sf_dir)
     raw = F.concat(F.lit('{"question": "'), F.regexp_replace("question", '["\\\\]', ""), F.lit('",\n\t"answer": "'), F.regexp_replace("answer", '["\\\\]', ""), F.lit('"}'))
-    found = pairs.select("id", text.parsed(text.unfenced(raw)).alias("qa"))
-    return found.select(F.col("id").alias("draw_id"), F.col("qa.question").alias("question"), F.md5(F.col("qa.answer").cast("binary")).alias("answer_md5"))
+    found = pairs.select("draw_id", text.parsed(text.unfenced(raw)).alias("qa"))
+    return found.select("draw_id", F.col("qa.question").alias("question"), F.md5(F.col("qa.answer").cast("binary")).alias("answer_md5"))
 
 
 @query(oracles.COST)
 def cost_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices of the dialogue turns, at a token for every four characters begun."""
-    pairs = qa_pairs(spark, sf_dir).filter("src = 'talk'")
+    """Prices of all pairs, at a token for every four characters begun."""
+    pairs = qa_pairs(spark, sf_dir)
     tokens = lambda c: F.ceil(F.length(c) / 4).cast("long")
     return synth.cost_report(pairs.select(tokens("question").alias("prompt_tokens"), tokens("answer").alias("completion_tokens"), F.lit("ok").alias("status")))
 
@@ -195,12 +201,12 @@ def khop_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.SUCCESSORS)
 def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = trade_graph(spark, sf_dir)
-    return graph.neighbors(edges, nodes, 1).select("start", "id")
+    return graph.successors(edges, nodes)
 
 
 @query(oracles.VIZ_NODES)
 def viz_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.node_export(*trade_graph(spark, sf_dir)).select("id", "label", F.round("size", 6).alias("size"), "tooltip")
+    return graph.node_export(*trade_graph(spark, sf_dir)).select("id", "label", F.round("size", 6).alias("size"), "tooltip", "colour")
 
 
 @query(oracles.VIZ_EDGES)
@@ -329,12 +335,14 @@ def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.scored.groupBy("difficulty", F.coalesce("reject_reason", F.lit("accepted")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(oracles.metadata_sql(200, prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = trade_graph(spark, sf_dir)
+    nodes, edges = (written(df, "graph") for df in trade_graph(spark, sf_dir))
     gen = GenerationConfig(count=200)
-    found = generate.metadata(generate.generate(spark, nodes, edges, gen), nodes, edges, gen)
-    return found.select(*(F.to_json(c).alias(c) for c in found.columns))
+    found = generate.metadata(generate.generate(spark, nodes, edges, gen, stored=True), nodes, edges, gen)
+    g, c = "generation_config", "cost"
+    rounded = [F.round(f"{k}.{n}", d).alias(n) for k, n, d in ((g, "acceptance_rate", 9), (c, "total_cost", 9), (c, "avg_cost_per_example", 9), ("quality", "avg_quality", 6))]
+    return found.select(f"{g}.count_requested", f"{g}.count_generated", f"{g}.count_rejected", f"{c}.input_tokens", f"{c}.output_tokens", f"{c}.api_calls", "graph.*", *rounded)
 
 
 @query()
@@ -350,6 +358,71 @@ def autotune_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "tier int, warning string").groupBy("warning").agg(F.min("tier").alias("first_tier"))
 
 
+@query(oracles.RECOMMENDATIONS)
+def autotune_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality level, and how many recommendations an average of 0.5 gets, by the last tier that gave examples."""
+    rows = []
+    for top in range(-1, len(TIERS)):
+        tuned = generate.Tuned(None, [TierResult(t, int(t.number <= top)) for t in TIERS], None)
+        rows.append((top, tuned.level, len(tuned.recommendations(0.5))))
+    return spark.createDataFrame(rows, "top_tier int, level string, recommendations int")
+
+
+# single rules
+
+
+@query(oracles.TRUTHY)
+def truthy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that count as absent: empty ones, zeros of numeric type, false."""
+    s, d = "string", "double"
+    bags = [
+        [("name", "", s), ("label", "b", s)], [("name", None, s), ("title", "t", s)], [("name", "0", "int")], [("name", "0.5", d)], [("name", "true", "boolean")],
+        [("name", "False", "boolean"), ("value", "0e5", d)], [("name", "first", s), ("name", "last", s)], [("name", "0", s)],
+    ]
+    rows = spark.createDataFrame(list(enumerate(bags)), f"case_id int, attrs {ATTRS}")
+    return rows.select("case_id", resolve.node_label(F.col("attrs"), F.lit("n")).alias("label"))
+
+
+@query(oracles.SAMPLE_UNIFORM)
+def sample_without_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By degree, where no node has an edge: all alike."""
+    nodes = tables.trade_nodes(spark, sf_dir)
+    degrees = written(graph.degrees(nodes, spark.createDataFrame([], EDGES)), "degrees")
+    return sample.sample_starts(spark, degrees, "frequency_weighted", DRAWS)
+
+
+@query(oracles.SAMPLE_UNIFORM)
+def sample_by_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    degrees = written(graph.degrees(*trade_graph(spark, sf_dir)), "degrees")
+    return sample.sample_starts(spark, degrees, "random", DRAWS)
+
+
+@query(oracles.prompt_sql(prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
+def prompt_of_unknown_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir).select("draw_id", prompt.prompt(F.col("path_str"), "gardening", F.col("rich_context")).alias("prompt"))
+
+
+@query(oracles.NO_CONTEXT(prompt.TEMPLATES["beauty_product"].head(), prompt.TEMPLATES["beauty_product"].tail()))
+def prompt_without_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rendered(spark, sf_dir).select("draw_id", prompt.prompt(F.col("path_str"), "beauty_product", F.lit("")).alias("prompt"))
+
+
+@query(oracles.DEDUP_EXTREMES)
+def path_dedup_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a threshold of 0 one path stays, above 1 all do."""
+    long = walk.usable(_walks(spark, sf_dir))
+    return reduce(lambda a, b: a.unionByName(b), (dedup.greedy_dedup(long, t).select(F.lit(str(t)).alias("threshold"), "draw_id") for t in (0, 1.1)))
+
+
+@query(oracles.JSONL)
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples written as JSON lines and read again."""
+    path = f"{shared_folder(spark)}/examples-{uuid.uuid4().hex}"
+    dataset.write_jsonl_parts(dataset.examples(_scored(spark, sf_dir).withColumnRenamed("id", "draw_id")), path)
+    said = lambda i: F.md5(F.col("messages")[i]["content"].cast("binary"))
+    return spark.read.schema("messages array<struct<role:string,content:string>>").json(path).select(said(0).alias("question_md5"), said(1).alias("answer_md5"))
+
+
 # graph files
 
 FIXTURE = """<?xml version="1.0" encoding="utf-8"?>

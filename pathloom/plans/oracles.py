@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathloom.operators.graph import PALETTE
+
 _PAIRS = """pairs AS (
  SELECT 'talk' AS src, conv_id * 1000 + turn AS id, text AS question, answer FROM (
   SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)
@@ -38,10 +40,11 @@ QA_REPORT = f"{_WITH} SELECT count(*) AS total_examples, round(coalesce(avg(qual
 QA_ACCEPTANCE = f"{_WITH} SELECT count(*) FILTER (is_valid) AS accepted, count(*) FILTER (NOT is_valid) AS rejected, CASE WHEN count(*) = 0 THEN 0.0 ELSE count(*) FILTER (is_valid) / count(*)::DOUBLE END AS acceptance_rate FROM scored"
 MESSAGES = f"{_WITH} SELECT src, id, 'user' AS first_role, question AS first_content, 'assistant' AS second_role, md5(answer) AS second_md5, quality_score FROM scored WHERE is_valid"
 QA_SWEEP = " UNION ALL ".join(f"(WITH {_scores(least, threshold)} SELECT {tier}::INT AS tier, count(*) AS accepted FROM scored WHERE is_valid HAVING count(*) > 0)" for tier, least, threshold in ((0, "20", "0.7"), (1, "20", "0.7"), (2, "20", "0.5"), (3, "20", "0.5"), (4, "20", "0.5"), (5, "10", "0.3")))
-CLEAN = f"WITH {_PAIRS} SELECT id AS draw_id, question, '{{' AS opens, '}}' AS closes FROM pairs WHERE src = 'talk'"
-PARSED = f"{_WITH} SELECT id AS draw_id, question, md5(answer) AS answer_md5, 'easy' AS difficulty, quality_score, is_valid, reject_reason FROM scored WHERE src = 'talk'"
-REPAIRED = f"""WITH {_PAIRS} SELECT id AS draw_id, regexp_replace(question, '["\\\\]', '', 'g') AS question, md5(regexp_replace(answer, '["\\\\]', '', 'g')) AS answer_md5 FROM pairs WHERE src = 'talk'"""
-COST = f"""WITH {_PAIRS}, t AS (SELECT sum(ceil(length(question) / 4.0))::BIGINT AS i, sum(ceil(length(answer) / 4.0))::BIGINT AS o, count(*) AS n FROM pairs WHERE src = 'talk')
+_DRAW_ID = "id * 10 + list_position(['talk', 'document', 'source', 'item', 'part', 'brand', 'event', 'nation'], src) AS draw_id"
+CLEAN = f"WITH {_PAIRS} SELECT {_DRAW_ID}, question, md5(to_json({{'question': question, 'answer': answer, 'difficulty': 'easy'}})::VARCHAR) AS clean_md5 FROM pairs"
+PARSED = f"{_WITH} SELECT {_DRAW_ID}, question, md5(answer) AS answer_md5, 'easy' AS difficulty, quality_score, is_valid, reject_reason FROM scored"
+REPAIRED = f"""WITH {_PAIRS} SELECT {_DRAW_ID}, regexp_replace(question, '["\\\\]', '', 'g') AS question, md5(regexp_replace(answer, '["\\\\]', '', 'g')) AS answer_md5 FROM pairs"""
+COST = f"""WITH {_PAIRS}, t AS (SELECT sum(ceil(length(question) / 4.0))::BIGINT AS i, sum(ceil(length(answer) / 4.0))::BIGINT AS o, count(*) AS n FROM pairs)
 SELECT i AS input_tokens, o AS output_tokens, i + o AS total_tokens, i / 1000.0::DOUBLE * 0.0004::DOUBLE AS input_cost, o / 1000.0::DOUBLE * 0.0016::DOUBLE AS output_cost,
  i / 1000.0::DOUBLE * 0.0004::DOUBLE + o / 1000.0::DOUBLE * 0.0016::DOUBLE AS total_cost, n AS api_calls, (i / 1000.0::DOUBLE * 0.0004::DOUBLE + o / 1000.0::DOUBLE * 0.0016::DOUBLE) / n AS avg_cost_per_call FROM t"""
 
@@ -63,7 +66,8 @@ edges AS (
  UNION ALL SELECT 2000000000000000 + s_suppkey, 'N' || s_nationkey, 'S' || s_suppkey, 'HOSTS', '', '<br>weight: 1' FROM supplier
  UNION ALL SELECT 3000000000000000 + c_custkey, 'N' || c_nationkey, 'C' || c_custkey, 'HOME_OF', '', '<br>weight: 1<br>custom: HOME_OF' FROM customer
  UNION ALL SELECT 4000000000000000 + ord, src, dst, predicate, reasoning, '<br>weight: ' || weight || '<br>reasoning: ' || reasoning FROM last WHERE rn = 1
- UNION ALL SELECT 5000000000000000 + p_partkey, 'P' || p_partkey, 'B' || split_part(p_brand, '#', 2), 'RELATED_TO', '', '<br>color: none' FROM part)"""
+ UNION ALL SELECT 5000000000000000 + p_partkey, 'P' || p_partkey, 'B' || split_part(p_brand, '#', 2), 'RELATED_TO', '', '<br>color: none' FROM part
+ UNION ALL SELECT 6000000000000000 + r_regionkey, 'R' || r_regionkey, 'R' || r_regionkey, 'TRADES_WITHIN', '', '' FROM region)"""
 _DEGREES = """degrees AS (SELECT n.ord, n.id, n.label, n.more, coalesce(o.c, 0) + coalesce(i.c, 0) AS degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) AS in_degree FROM nodes n
  LEFT JOIN (SELECT src, count(*) AS c FROM edges GROUP BY src) o ON o.src = n.id LEFT JOIN (SELECT dst, count(*) AS c FROM edges GROUP BY dst) i ON i.dst = n.id)"""
 
@@ -75,17 +79,18 @@ _GRAPH = f"{_NODES}, {_EDGES}, {_DEGREES}"
 NODE_DEGREE = f"WITH {_GRAPH} SELECT id, degree, out_degree, in_degree FROM degrees"
 EDGE_ORDER = f"WITH {_NODES}, {_EDGES} SELECT n.ord AS src_ord, row_number() OVER (PARTITION BY n.ord ORDER BY e.ord, e.dst) AS place, e.src, e.dst FROM edges e JOIN nodes n ON n.id = e.src"
 GRAPH_STATS = f"WITH {_GRAPH} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, sum(degree)::BIGINT AS total_degree, greatest(max(degree), 1) AS max_degree, 2.0::DOUBLE * (SELECT count(*) FROM edges) / count(*) AS avg_degree, greatest((SELECT count(*) FROM edges), count(*)) * 2 AS capacity FROM degrees"
-KHOP = f"""WITH RECURSIVE {_NODES}, {_EDGES}, reach AS (SELECT id AS start, id, 0 AS hop FROM nodes WHERE id LIKE 'R%' UNION SELECT r.start, e.dst, r.hop + 1 FROM reach r JOIN edges e ON e.src = r.id WHERE r.hop < 3)
+KHOP = f"""WITH RECURSIVE {_NODES}, {_EDGES}, reach AS (SELECT id AS start, id, 0 AS hop FROM nodes UNION SELECT r.start, e.dst, r.hop + 1 FROM reach r JOIN edges e ON e.src = r.id WHERE r.hop < 3)
 SELECT start, id, min(hop)::INT AS hop FROM reach GROUP BY start, id HAVING min(hop) > 0"""
-SUCCESSORS = f"WITH {_EDGES} SELECT DISTINCT src AS start, dst AS id FROM edges WHERE src <> dst"
-VIZ_NODES = f"WITH {_GRAPH} SELECT id, label, round(15.0::DOUBLE + 20.0::DOUBLE * degree / (SELECT greatest(max(degree), 1) FROM degrees), 6) AS size, '<b>' || label || '</b><br>ID: ' || id || '<br>Connections: ' || degree || more AS tooltip FROM degrees"
+SUCCESSORS = f"WITH {_EDGES} SELECT DISTINCT src AS start, dst AS id FROM edges"
+VIZ_NODES = f"WITH {_GRAPH} SELECT id, label, round(15.0::DOUBLE + 20.0::DOUBLE * degree / (SELECT greatest(max(degree), 1) FROM degrees), 6) AS size, '<b>' || label || '</b><br>ID: ' || id || '<br>Connections: ' || degree || more AS tooltip, ([{', '.join(repr(c) for c in PALETTE)}])[('0x' || substr(md5(id), 1, 8))::BIGINT % {len(PALETTE)} + 1] AS colour FROM degrees"
 VIZ_EDGES = f"WITH {_EDGES} SELECT src, dst, relationship, '<b>' || relationship || '</b>' || more AS tooltip FROM edges"
 PREVIEW = f"""WITH {_NODES}, {_EDGES} (SELECT 'node' AS kind, ord, label AS line FROM nodes ORDER BY ord LIMIT 20)
 UNION ALL SELECT 'edge', e.ord, a.label || ' → [' || e.relationship || '] → ' || b.label FROM (SELECT * FROM edges ORDER BY ord LIMIT 20) e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst"""
 
 
 def _draw(total: str, *parts: str) -> str:
-    return f"((('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 8))::BIGINT * {total}) >> 32)"
+    digits = lambda n: f"('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, {n}))::BIGINT"
+    return f"(CASE WHEN {total} <= 1048576 THEN ({digits(8)} * least({total}, 1048576)) >> 32 ELSE {digits(15)} % {total} END)"
 
 
 _WEIGHTED = f"""owned AS (SELECT id, sum(degree) OVER (ORDER BY ord) - degree AS lo, sum(degree) OVER (ORDER BY ord) AS hi FROM degrees WHERE degree > 0),
@@ -117,7 +122,7 @@ def _maximal(starts: str) -> str:
 paths AS (SELECT * FROM grow g WHERE len(nodes) > 1 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = g.cur AND NOT list_contains(g.nodes, e.dst)))"""
 
 
-MAXIMAL_PATHS = _maximal("id LIKE 'R%'") + f" SELECT start, {_PATH}, len(nodes)::INT AS length FROM paths"
+MAXIMAL_PATHS = _maximal("true") + f" SELECT start, {_PATH}, len(nodes)::INT AS length FROM paths"
 PATH_HISTOGRAM = _maximal("true") + " SELECT len(nodes)::INT AS length, count(*) AS n FROM paths GROUP BY 1"
 _LONG = "long AS (SELECT * FROM walks WHERE length > 1)"
 _ALIKE = "len(list_intersect(x.nodes, y.nodes))::DOUBLE / (len(x.nodes) + len(y.nodes) - len(list_intersect(x.nodes, y.nodes)))"
@@ -148,6 +153,14 @@ PATH_STR = f"{_WALKS}, {_TEXT} SELECT draw_id, path_str, length FROM texts"
 RICH_CONTEXT = f"{_WALKS}, {_TEXT} SELECT draw_id, rich_context FROM texts"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _prompt_of(text: str) -> str:
+    return f"{_WALKS}, {_TEXT} SELECT draw_id, {text} AS prompt FROM texts"
+
+
 def prompt_sql(head: str, context: str, tail: str) -> str:
     h, c, t = ("'" + x.replace("'", "''") + "'" for x in (head, context, tail))
     return f"{_WALKS}, {_TEXT} SELECT draw_id, {h} || path_str || {c} || rich_context || {t} AS prompt FROM texts"
@@ -179,8 +192,25 @@ def rejects_sql(draws: int, head: str, context: str, tail: str) -> str:
     return f"{_run_sql(draws, head, context, tail)} SELECT difficulty, CASE WHEN score >= 0.7::DOUBLE THEN 'accepted' ELSE 'low_score' END AS status, count(*) AS n FROM judged GROUP BY ALL"
 
 
+def metadata_sql(draws: int, head: str, context: str, tail: str) -> str:
+    """Tokens are counted as the offline backend counts them: four characters begun each, of prompt and reply."""
+    reply = """length('{"question": "", "answer": "", "difficulty": ""}') + length(j.question) + length(j.answer) + length(j.difficulty) + CASE WHEN k.kind = 2 THEN 12 ELSE 0 END"""
+    asked = f"length({_quoted(head)} || x.path_str || {_quoted(context)} || x.rich_context || {_quoted(tail)})"
+    return f"""{_run_sql(draws, head, context, tail)},
+spent AS (SELECT sum(({asked} + 3) // 4)::BIGINT AS i, sum(({reply} + 3) // 4)::BIGINT AS o, count(*) AS n, count(*) FILTER (j.score >= 0.7::DOUBLE) AS good, avg(least(1.0::DOUBLE, j.score)) FILTER (j.score >= 0.7::DOUBLE) AS mean
+ FROM judged j JOIN asked k USING (draw_id) JOIN texts x USING (draw_id))
+SELECT {draws} AS count_requested, good AS count_generated, n - good AS count_rejected, round(good / n::DOUBLE, 9) AS acceptance_rate, i AS input_tokens, o AS output_tokens, n AS api_calls,
+ round(i / 1000.0::DOUBLE * 0.0004::DOUBLE + o / 1000.0::DOUBLE * 0.0016::DOUBLE, 9) AS total_cost, round((i / 1000.0::DOUBLE * 0.0004::DOUBLE + o / 1000.0::DOUBLE * 0.0016::DOUBLE) / good, 9) AS avg_cost_per_example, round(mean, 6) AS avg_quality,
+ (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, n AS paths_extracted, greatest((SELECT count(*) FROM edges), (SELECT count(*) FROM nodes)) * 2 AS estimated_capacity FROM spent"""
+
+
 #: The warnings as the tier table words them.
 TIER_WARNINGS = """SELECT * FROM (VALUES ('dedup threshold 0.70 instead of 0.95: more paths count as duplicates', 1), ('quality threshold 0.5 instead of 0.7', 2), ('dedup threshold 0.60 instead of 0.95: more paths count as duplicates', 3), ('temperature 0.9 instead of 0.7', 3),
  ('dedup threshold 0.50 instead of 0.95: more paths count as duplicates', 4), ('uniform instead of degree-weighted sampling', 4), ('quality threshold 0.3 instead of 0.7', 5), ('dedup threshold 0.30 instead of 0.95: more paths count as duplicates', 5), ('temperature 1.0 instead of 0.7', 5)) t(warning, first_tier)"""
 GRAPHML_NODES = "SELECT * FROM (VALUES (0::BIGINT, 'a', 'Alpha', ''), (1, 'b', 'second', ''), (3, 'c', 'c', '')) t(ord, id, label, description)"
 GRAPHML_EDGES = "SELECT * FROM (VALUES (0::BIGINT, 'a', 'b', 'last', ''), (1, 'b', 'c', 'loose', '')) t(ord, src, dst, relationship, reasoning)"
+TRUTHY = "SELECT * FROM (VALUES (0, 'b'), (1, 't'), (2, 'n'), (3, '0.5'), (4, 'true'), (5, 'n'), (6, 'last'), (7, '0')) t(case_id, label)"
+NO_CONTEXT = lambda head, tail: _prompt_of(f"{_quoted(head)} || path_str || {_quoted(tail)}")
+DEDUP_EXTREMES = f"{_WALKS}, {_LONG} SELECT '0' AS threshold, min(draw_id) AS draw_id FROM long UNION ALL SELECT '1.1', draw_id FROM long"
+JSONL = f"{_WITH} SELECT md5(question) AS question_md5, md5(answer) AS answer_md5 FROM scored WHERE is_valid"
+RECOMMENDATIONS = """SELECT * FROM (VALUES (-1, 'HIGH', 1), (0, 'HIGH', 1), (1, 'MODERATE', 2), (2, 'MODERATE', 2), (3, 'REDUCED', 4), (4, 'REDUCED', 4), (5, 'REDUCED', 4)) t(top_tier, level, recommendations)"""

@@ -1,7 +1,7 @@
 """A property graph over trade tables: regions, nations, suppliers, customers, parts and brands.
 
 Attribute names vary by kind of node, so that every step of label resolution is used; nations border each other in rings,
-so that the graph has cycles; a supplier and a part that meet in several line items keep the last one's attributes."""
+so that the graph has cycles; a region trades within itself, a self-loop; a supplier and a part that meet in several line items keep the last one's attributes."""
 
 from __future__ import annotations
 
@@ -52,6 +52,7 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("customer").select("c_custkey", F.concat(F.lit("N"), "c_nationkey"), F.concat(F.lit("C"), "c_custkey"), _attrs(weight=F.lit("1"), custom=F.lit("HOME_OF"))),
         collapse_edges(supply_lines(spark, sf_dir)).select("ord", "src", "dst", "attrs"),
         t("part").select("p_partkey", F.concat(F.lit("P"), "p_partkey"), F.concat(F.lit("B"), F.substring_index("p_brand", "#", -1)), _attrs(color=F.lit("none"))),
+        t("region").select("r_regionkey", F.concat(F.lit("R"), "r_regionkey"), F.concat(F.lit("R"), "r_regionkey"), _attrs(connection_type=F.lit("TRADES_WITHIN"))),
     ]
     out = None
     for rank, df in enumerate(kinds):

@@ -19,10 +19,10 @@ def logged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resume(prompts: DataFrame, path: str, backend: SynthBackend | None = None, gen: GenerationConfig = GenerationConfig(), config: BackendConfig = BackendConfig(), batches: int = 10) -> DataFrame:
-    """The responses to all prompts. Those already in the log at `path` are not asked for again; new ones are appended in
+    """The responses to all prompts. Those already in the log at `path`, by draw_id and prompt, are not asked for again; new ones are appended in
     batches by hash of draw_id, so that an interruption loses one batch at most."""
     spark = prompts.sparkSession
     for b in range(batches):
-        due = prompts.filter(F.pmod(F.xxhash64("draw_id"), F.lit(batches)) == b).join(logged(spark, path).select("draw_id"), "draw_id", "left_anti")
+        due = prompts.filter(F.pmod(F.xxhash64("draw_id"), F.lit(batches)) == b).join(logged(spark, path).select("draw_id", "prompt"), ["draw_id", "prompt"], "left_anti")
         synthesize(due, backend, gen, config).write.mode("append").parquet(path)
-    return logged(spark, path).join(prompts.select("draw_id"), "draw_id", "left_semi")
+    return logged(spark, path).join(prompts.select("draw_id", "prompt"), ["draw_id", "prompt"], "left_semi")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import resolve
+from pathloom.functions.draws import below
 from pathloom.model import EDGES, NODES
 from pathloom.operators import dedup, graph, render, sample, walk
 from pathloom.sources import graphml
@@ -141,3 +142,15 @@ def test_graphml_round_trip(spark, tmp_path):
     n, e = graphml.read_graphml(spark, str(tmp_path / "g.graphml"))
     assert [tuple(r) for r in n.orderBy("ord").collect()] == [tuple(r) for r in nodes.orderBy("ord").collect()]
     assert [tuple(r) for r in e.collect()] == [tuple(r) for r in edges.collect()]
+
+
+def test_successors_keep_self_loops(spark):
+    edges = spark.createDataFrame([(0, "a", "a", []), (1, "a", "b", []), (2, "a", "b", [])], EDGES)
+    nodes = spark.createDataFrame([(0, "a", []), (1, "b", [])], NODES)
+    assert sorted((r.start, r.id) for r in graph.successors(edges, nodes).collect()) == [("a", "a"), ("a", "b")]
+
+
+def test_draws_below_large_numbers(spark):
+    n = 3 * 2**31
+    rows = [r.u for r in spark.range(4000).select(below(F.lit(n), 42, F.col("id"), "start").alias("u")).collect()]
+    assert all(0 <= u < n for u in rows) and abs(sum(rows) / len(rows) / n - 0.5) < 0.02 and len(set(rows)) == 4000

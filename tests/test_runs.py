@@ -1,13 +1,15 @@
 import json
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom import cli
-from pathloom.model import EDGES, NODES, TIERS, BackendConfig, ExtractionConfig, GenerationConfig
+from pathloom.model import EDGES, NODES, TIERS, BackendConfig, ExtractionConfig, GenerationConfig, ValidationConfig
 from pathloom.operators import dataset, prompt, synth
-from pathloom.operators.graph import edge_export, node_export, preview
+from pathloom.operators.graph import edge_export, node_export, preview, resolved_edges
 from pathloom.plans import generate
+from pathloom.sources import samples
 from pathloom.sources.graphml import write_graphml
 from pathloom.streaming import responses
 
@@ -90,6 +92,61 @@ def test_retries():
         synth.RemoteBackend(BackendConfig())
 
 
+def test_connection_errors_are_tried_again(monkeypatch):
+    import urllib.error
+    import urllib.request
+
+    def unreachable(*_, **__):
+        raise urllib.error.URLError("no route")
+
+    monkeypatch.setattr(urllib.request, "urlopen", unreachable)
+    backend, slept = synth.RemoteBackend(BackendConfig("k", "https://example.org", "d")), []
+    assert synth.with_retries(backend, "p", GenerationConfig(), backend.config, slept.append)[1] == "api_error" and slept == [1.0, 1.0]
+
+
+def test_settings_of_a_file_and_keys_that_stay_out_of_tasks(tmp_path, monkeypatch):
+    (tmp_path / "env").write_text("# settings\nexport PATHLOOM_API_KEY='secret'\nPATHLOOM_ENDPOINT=https://example.org\n")
+    monkeypatch.setenv("PATHLOOM_DEPLOYMENT", "d")
+    config = BackendConfig.from_env(env_file=str(tmp_path / "env"))
+    assert (config.api_key, config.endpoint, config.deployment) == ("secret", "https://example.org", "d")
+    monkeypatch.setenv("PATHLOOM_API_KEY", "secret")
+    assert b"secret" not in pickle.dumps(synth.RemoteBackend(config))
+    assert BackendConfig.from_env(env_file=str(tmp_path / "none")).endpoint == ""
+    for bad in (lambda: GenerationConfig(temperature=-1), lambda: GenerationConfig(count=-1), lambda: ValidationConfig(1.5)):
+        with pytest.raises(ValueError, match="must lie between"):
+            bad()
+
+
+def test_a_run_goes_on_from_its_log(spark, graph, tmp_path):
+    log = f"file://{tmp_path}/log"
+    first = generate.generate(spark, *graph, GenerationConfig(count=20), log=log)
+    sent = responses.logged(spark, log).count()
+    again = generate.generate(spark, *graph, GenerationConfig(count=20), log=log)
+    assert sent == first.paths.count() == responses.logged(spark, log).count()
+    assert first.examples.orderBy("draw_id").collect() == again.examples.orderBy("draw_id").collect()
+
+
+def test_metadata_of_a_tuned_run(spark, graph):
+    tuned = generate.autotune(spark, *graph, target=60, tiers=TIERS[:2])
+    row = generate.auto_metadata(spark, tuned, *graph, 60).first()
+    config, n = row.generation_config, tuned.examples.count()
+    rejected = sum(t.rejected for t in tuned.tiers)
+    assert (config.mode, config.tuning_iterations, config.count_generated, config.count_rejected) == ("auto", 2, n, rejected)
+    assert config.acceptance_rate == n / (n + rejected) and row.cost.avg_cost_per_example == row.cost.total_cost / n
+    assert any("mode: auto" in line for line in generate.report_lines(row))
+    empty = generate.auto_metadata(spark, generate.autotune(spark, *graph, target=0), *graph, 0).first()
+    assert empty.quality.avg_quality == 0 and generate.report_lines(empty)
+
+
+def test_samples_and_legend(spark):
+    for name in samples.SAMPLES:
+        nodes, edges = samples.sample_graph(spark, name)
+        assert edges.count() == len(samples.SAMPLES[name]) and resolved_edges(edges).filter("relationship = 'RELATED_TO'").count() == 0
+    assert "graph: looks_best_with, applied_by" in prompt.legend_of(resolved_edges(edges))
+    run = generate.generate(spark, nodes, edges, GenerationConfig(count=5, domain="beauty_makeup"))
+    assert "Relationships of this graph" in run.paths.first().prompt
+
+
 def test_a_log_of_responses_resumes(spark, tmp_path):
     prompts = spark.range(30).select(F.col("id").alias("draw_id"), F.concat(F.lit("Path: A -[x]-> B"), F.col("id").cast("string")).alias("prompt"))
     path = f"file://{tmp_path}/log"
@@ -123,7 +180,11 @@ def test_command_line(spark, graph, tmp_path, capsys):
     found = json.load(open(out + ".json"))
     lines = spark.read.json(out + ".jsonl")
     assert len(found) == lines.count() > 0 and "quality_score" not in lines.columns
-    assert "dropped_short" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "dropped_short" in said and "mode: manual" in said and json.load(open(out + ".metadata.json"))["quality"]["total_examples"] == len(found)
+    assert all(json.loads(line)["messages"] for line in open(out + ".jsonl"))
+    with pytest.raises(SystemExit):
+        cli.main(["--sample", "orchard", "--count", "0"])
     with pytest.raises(Exception):
         cli.main(["--graph", str(tmp_path / "missing.graphml")])
 

@@ -53,6 +53,9 @@ def test_word_count_follows_unicode_white_space(spark):
         ("{'question': 'Why?', 'answer': 'x'}", None, "bad_json"),
         ('["question", "answer"]', None, "bad_json"),
         ("42", None, "bad_json"),
+        ('{"question": "Why is it so here?", "answer": "x", "meta": {"a": [1, {"b": "}"}]}}', "x", "low_score"),
+        ('{"question": "Why is it so here?", "answer": "x"} {}', None, "bad_json"),
+        ('{"question": "Why is it so here?", "answer": "x", "meta": {"a": 1}', None, "bad_json"),
         ('{"question": "Why is it so here?"}', None, "missing"),
         ('{"question": "Why is it so here?", "answer": null}', None, "missing"),
         ('{"question": "a", "question": "Why is it so here?", "answer": "x"}', "x", "low_score"),
