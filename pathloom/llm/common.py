@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many narrow rows may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a batch of texts on the way to a Python worker.
+BATCH_ROWS = 1_000
 
 _local_root: list[str] = []
 
@@ -78,6 +80,15 @@ def crc_of_id(col: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"))
 
 
+def by_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of at most BATCH_ROWS rows: those of Spark's default would hold tens of MB of texts,
+    once in the JVM beside its heap and once in the worker. A session that sets another size than the default keeps it."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if df.sparkSession.conf.get(key) == default:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, in pieces of at most `rows` rows and about `size` bytes of text (a longer text is alone)."""
     for batch in batches:

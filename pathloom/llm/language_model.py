@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import crc_of_id, slices, texts_of
+from pathloom.llm.common import by_batches, crc_of_id, slices, texts_of
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -266,4 +266,4 @@ def predict_languages(docs: DataFrame, model: Field, lang_pred: str = "lang_pred
             found = model.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([k for k, _ in found]), pa.array([s for _, s in found])], names=[*b.schema.names, lang_pred, score])
 
-    return docs.select(*rest, "text").mapInArrow(run, f"{fields}, `{lang_pred}` string, `{score}` double")
+    return by_batches(docs.select(*rest, "text"), run, f"{fields}, `{lang_pred}` string, `{score}` double")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import slices, small, written
+from pathloom.llm.common import by_batches, slices, small, written
 from pathloom.llm.tokens import tokenizer
 
 #: The bases of so many parts, of at most 12 bytes a length, may be broadcast; more are joined by shuffle.
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 1024,
     gives no rows; other columns are not read."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = written(texts.mapInArrow(_tokenize(tokenizer_path, keeps_space, end_id, window), TOKENIZED), "tokenized", "zstd")
+    rows = written(by_batches(texts, _tokenize(tokenizer_path, keeps_space, end_id, window), TOKENIZED), "tokenized", "zstd")
     # for each part and length of tail; at length 0 the tails are missing, and whole windows are counted there
     own = rows.groupBy("part", "tail").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("n_tokens") / window)).alias("full"))
     own = written(own, "histogram")

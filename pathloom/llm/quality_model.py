@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import docstats
-from pathloom.llm.common import crc_of_id, sampled, slices, texts_of
+from pathloom.llm.common import by_batches, crc_of_id, sampled, slices, texts_of
 
 
 @dataclass
@@ -86,7 +86,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, held_out: Callable, most:
     smallest text does."""
     usable = labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out("doc_id")).select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
     rows = texts_of(docs, sampled(usable, most, F.col("doc_id"), F.col("label")), ["doc_id"])
-    rows = rows.select("label", "text").mapInArrow(_vectors, "label int, x array<double>").collect()
+    rows = by_batches(rows.select("label", "text"), _vectors, "label int, x array<double>").collect()
     rows.sort(key=lambda r: (r.x, r.label))
     x = np.array([r.x for r in rows], float).reshape(len(rows), docstats.N_FEATURES)
     return fit_forest(x, np.array([r.label for r in rows], float))
@@ -108,4 +108,4 @@ def score_quality(docs: DataFrame, forest: Forest, score: str = "score") -> Data
             x = np.array([docstats.features(docstats.statistics(t)) for t in b.column("text").to_pylist()], float).reshape(-1, docstats.N_FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.score(x))], names=[*b.schema.names, score])
 
-    return docs.select(*rest, "text").mapInArrow(run, f"{fields}, `{score}` double")
+    return by_batches(docs.select(*rest, "text"), run, f"{fields}, `{score}` double")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm import docstats
-from pathloom.llm.common import slices, small, written
+from pathloom.llm.common import by_batches, slices, small, written
 
 #: Transformed statistics, and how far below its typical spread each may not shrink.
 VECTOR = {"f_length": 0.5, "f_word": 0.1, "f_symbols": 0.7, "f_lines": 2.0, "f_repeats": 1.0, "f_upper": 0.5, "f_marks": 0.3, "f_types": 0.1, "f_bars": 0.5}
@@ -48,7 +48,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def statistics_of(docs: DataFrame) -> DataFrame:
     """The counts and the vector x of each row; a null text has no words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    return rows.mapInArrow(_statistics, STATISTICS)
+    return by_batches(rows, _statistics, STATISTICS)
 
 
 def _distance(x: Column, mean: Column, precision: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import free_name, slices, small, written
+from pathloom.llm.common import by_batches, free_name, slices, small, written
 
 THRESHOLD = 3
 
@@ -56,7 +56,7 @@ def text_hash(docs: DataFrame) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) and text_hash of each row; a null text has no words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("text_hash"), F.col("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long")
+    return by_batches(rows, _fingerprints, "doc_id long, fp long, text_hash long")
 
 
 def _bits_apart(a: Column, b: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import sampled, scratch_path, slices, texts_of, written
+from pathloom.llm.common import by_batches, sampled, scratch_path, slices, texts_of, written
 
 BLOCKS = "part int, block int, first_doc long, last_doc long, n_docs int, inner long, n_tokens long, width int, dict_hash string, doc_ids array<long>, counts array<int>, ends array<int>, payload binary"
 DECODED = "doc_id long, start long, n_tokens long, ids binary"
@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     texts = [r.text for r in texts_of(rows, sampled(rows.select("doc_id"), sample_docs, F.col("doc_id")).distinct(), ["doc_id"], longest).collect()]
     dictionary = trained_dictionary([_narrow(ids + end, width) for ids in tok.encode(sorted(texts))], dict_bytes)
     dict_hash = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
-    frames = written(rows.mapInArrow(_encoder(tokenizer_path, keeps_space, end, width, dictionary), "doc_id long, _part int, _row long, n int, frame binary"), "frames", "none")
+    frames = written(by_batches(rows, _encoder(tokenizer_path, keeps_space, end, width, dictionary), "doc_id long, _part int, _row long, n int, frame binary"), "frames", "none")
     order = ["doc_id", "_part", "_row"]
     ordered = frames.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "frame")
     ordered.mapInArrow(_blocks(width, dict_hash, block_bytes), BLOCKS).write.parquet(f"{path}/blocks")

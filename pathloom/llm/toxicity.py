@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import crc_of_id, sampled, slices, texts_of
+from pathloom.llm.common import by_batches, crc_of_id, sampled, slices, texts_of
 
 ORDER, DECAY, WIDTH, SHARPNESS = 3, 0.5, 14, 1.5
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -317,4 +317,4 @@ def score_toxicity(docs: DataFrame, model: Machine, score: str = "score") -> Dat
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.score(b.column("text").to_pylist()))], names=[*b.schema.names, score])
 
-    return docs.select(*rest, "text").mapInArrow(run, f"{fields}, `{score}` double")
+    return by_batches(docs.select(*rest, "text"), run, f"{fields}, `{score}` double")
