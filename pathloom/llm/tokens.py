@@ -60,9 +60,8 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        # texts with an added token go to the library as a whole; some are looked for in the normalized text
-        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        # texts with an added token go to the library as a whole
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.model = self.lib.model
         self.keeps_space, self.most = keeps_space, most
         self.young: dict[str, bytes] = {}
@@ -97,7 +96,7 @@ class PieceTokenizer:
         whole: list[int] = []
         missing: set[str] = set()
         for i, text in enumerate(texts):
-            if "\0" in text or self.keeps_space and _RUN.search(text) or self.added and self.added.search(text if self.keeps_space else text.lower()):
+            if "\0" in text or self.keeps_space and _RUN.search(text) or any(t in text for t in self.added):
                 whole.append(i)
                 continue
             marked = text if (_MARKS if self.keeps_space else _LOWER_MARKS).search(text) else text.replace(".", "\0.").replace(",", "\0,")
