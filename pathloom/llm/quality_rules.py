@@ -2,9 +2,10 @@
 
 Every document has a vector of transformed statistics. For each language and source a minimum-covariance-determinant
 estimate is fitted by concentration steps: from a start at medians and their deviations, the three quarters of rows that lie
-closest in Mahalanobis distance give the next mean and covariance. All steps are aggregations, so a source that holds a
-third of all rows is pre-aggregated like any other and no group meets in one task. A document far from its group's centre
-is rejected; a group too small for an estimate uses its language's, or else that of all documents."""
+closest in Mahalanobis distance give the next mean and covariance, until no group's determinant falls any more. All steps
+are aggregations, so a source that holds a third of all rows is pre-aggregated like any other and no group meets in one
+task. A document far from its group's centre is rejected; a group too small for an estimate uses its language's, or else
+that of all documents."""
 
 from __future__ import annotations
 
@@ -72,11 +73,11 @@ def _inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mean = np.asarray(r.sums, float) / r.n
             cov = np.asarray(r.products, float).reshape(K, K) / r.n - np.outer(mean, mean)
             cov = (cov + cov.T) / 2 + floors
-            out.append((r.level, r.lang, r.source, r.n, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["level", "lang", "source", "n", "mean", "precision"])
+            out.append((r.level, r.lang, r.source, r.n, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
+        yield pd.DataFrame(out, columns=["level", "lang", "source", "n", "mean", "precision", "log_det"])
 
 
-_MODEL = "level int, lang string, source string, n long, mean array<double>, precision array<double>"
+_MODEL = "level int, lang string, source string, n long, mean array<double>, precision array<double>, log_det double"
 _GROUP = ["level", "lang", "source"]
 
 
@@ -85,35 +86,47 @@ def _joined(rows: DataFrame, model: DataFrame) -> DataFrame:
     return rows.join(small(other, 100_000), F.col("level").eqNullSafe(F.col("_level")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_level", "_lang", "_source")
 
 
-def estimates(stats: DataFrame, part: float = 0.75, steps: int = 3) -> DataFrame:
-    """One row per group of the levels 0 (language and source), 1 (language) and 2 (all): mean, precision, scale and n.
+def _settled(old: DataFrame, new: DataFrame, tolerance: float) -> bool:
+    """Whether no group's log-determinant differs by more than the tolerance; one row reaches the driver."""
+    before = old.select(*_GROUP, F.col("log_det").alias("_before"))
+    moved = _joined(new.select(*_GROUP, "log_det"), before).agg(F.max(F.abs(F.col("log_det") - F.col("_before")))).first()[0]
+    return moved is None or moved <= tolerance
 
-    `scale` makes the group's median squared distance that of a chi-square distribution with K degrees of freedom."""
+
+def estimates(stats: DataFrame, part: float = 0.75, tolerance: float = 1e-3, steps: int = 20) -> DataFrame:
+    """One row per group of the levels 0 (language and source), 1 (language) and 2 (all): mean, precision, scale and rows.
+
+    Concentration steps go on until no group's log-determinant moves by more than `tolerance`, or `steps` are done (each
+    lowers the determinant, so they do settle, in about five). There is one start, the same on every run. `scale` makes the group's median squared distance that of a chi-square distribution with K degrees of freedom."""
     levels = F.array(F.struct(F.lit(0).alias("level"), F.col("lang").alias("lang"), F.col("source").alias("source")), F.struct(F.lit(1).alias("level"), F.col("lang").alias("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
     rows = stats.select("x", F.explode(levels).alias("g")).select("g.*", "x")
     item = [F.get("x", F.lit(i)) for i in range(K)]
     middle = written(rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for c in item)).alias("q")), "quartiles")
     spread = lambda i: F.pow((F.col("q")[i][2] - F.col("q")[i][0]) / 1.349, 2) + list(VECTOR.values())[i] ** 2
     model = middle.select(*_GROUP, "n", F.array(*(F.col("q")[i][1] for i in range(K))).alias("mean"), F.array(*((1 / spread(i)) if i == j else F.lit(0.0) for i in range(K) for j in range(K))).alias("precision"))
-    for _ in range(steps):
+    for step in range(steps):
         near = _joined(rows, model).withColumn("d", _distance(F.col("x"), F.col("mean"), F.col("precision"))).select(*_GROUP, "x", "d")
         cuts = written(near.groupBy(*_GROUP).agg(F.percentile_approx("d", F.lit(part), 1000).alias("cut")), "cuts")
         inside = _joined(near, cuts).filter("d <= cut")
         sums = inside.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(c) for c in item)).alias("sums"), *(F.sum(item[i] * item[j]).alias(f"p{i}_{j}") for i in range(K) for j in range(i + 1)))
         full = sums.select(*_GROUP, "n", "sums", F.array(*(F.col(f"p{max(i, j)}_{min(i, j)}") for i in range(K) for j in range(K))).alias("products"))
-        model = written(full.mapInPandas(_inverted, _MODEL), "model")
+        last, model = model, written(full.mapInPandas(_inverted, _MODEL), "model")
+        if step and _settled(last, model, tolerance):
+            break
     last = _joined(rows, model).withColumn("d", _distance(F.col("x"), F.col("mean"), F.col("precision")))
     medians = last.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("d", F.lit(0.5), 1000).alias("median"))
     chi = K * (1 - 2 / (9 * K)) ** 3  # the median of a chi-square distribution, by Wilson and Hilferty
     return written(_joined(medians, model).select(*_GROUP, "rows", "mean", "precision", F.greatest(F.col("median") / chi, F.lit(0.05)).alias("scale")), "estimates")
 
 
-def judge(stats: DataFrame, cutoff: float = 250.0, least: int = 100) -> DataFrame:
+def judge(stats: DataFrame, tail: float = 0.05, least: int = 100) -> DataFrame:
     """stats with distance, base_failed and kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated windows. Of the others those are kept whose squared
-    distance from their group, by the smallest level with at least `least` documents (or all), is at most `cutoff` on the
-    scale of a chi-square distribution with 9 degrees of freedom. Null languages and sources are groups of their own."""
+    distance from their group, by the smallest level with at least `least` documents (or all), is at most K / tail. By
+    Chebyshev's inequality no more than the share `tail` of a population lies beyond that, whatever its distribution; the
+    statistics are shares with long tails, of which a chi-square quantile would reject many. Null languages and sources are
+    groups of their own."""
     stats = written(stats, "statistics")
     models = estimates(stats)
     at = models.withColumn("m", F.struct("rows", "mean", "precision", "scale")).select(*_GROUP, "m")
@@ -127,4 +140,4 @@ def judge(stats: DataFrame, cutoff: float = 250.0, least: int = 100) -> DataFram
     rows = rows.withColumn("m", F.coalesce("m0", "m1", whole))
     rows = rows.withColumn("distance", _distance(F.col("x"), F.col("m.mean"), F.col("m.precision")) / F.col("m.scale"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance") <= cutoff)).select(*stats.columns, "distance", "base_failed", "kept")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("distance") <= K / tail)).select(*stats.columns, "distance", "base_failed", "kept")

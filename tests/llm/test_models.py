@@ -54,6 +54,46 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert len(got) == 630
 
 
+def _plain_estimate(x, part=0.75):
+    """The estimate of one group by numpy: squared distances on the scale of the chi-square distribution."""
+    def rank(v, p):
+        return np.sort(v)[math.ceil(p * len(v)) - 1]
+
+    floors = np.square(list(quality_rules.VECTOR.values()))
+    q1, q2, q3 = ([rank(c, p) for c in x.T] for p in (0.25, 0.5, 0.75))
+    mean, cov, last = np.array(q2), np.diag(np.square((np.array(q3) - np.array(q1)) / 1.349) + floors), None
+    while True:
+        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        near = x[d <= rank(d, part)]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors)
+        now = np.linalg.slogdet(cov)[1]
+        if last is not None and abs(last - now) <= 1e-3:
+            break
+        last = now
+    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    k = x.shape[1]
+    return d / (rank(d, 0.5) / (k * (1 - 2 / (9 * k)) ** 3))
+
+
+def test_distances_by_a_plain_estimate(spark):
+    rng = np.random.default_rng(5)
+    sizes = {("en", "a"): 400, ("en", "b"): 150, ("fr", "a"): 20}
+    k = quality_rules.K
+    parts = {g: rng.normal(0, 1, (n, k)) @ rng.normal(0, 1, (k, k)) + rng.normal(0, 3, k) for g, n in sizes.items()}
+    for x in parts.values():
+        x[: len(x) // 10] += 25
+    rows, i = [], 0
+    for (lang, source), x in parts.items():
+        for v in x.tolist():
+            rows.append((i, lang, source, 100, 500, 0, 0, 0, v))
+            i += 1
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, quality_rules.STATISTICS)).collect()}
+    everything = np.vstack(list(parts.values()))
+    expected = np.concatenate([_plain_estimate(parts["en", "a"]), _plain_estimate(parts["en", "b"]), _plain_estimate(everything)[-20:]])
+    assert np.allclose([got[j].distance for j in range(i)], expected, rtol=1e-6)
+    assert all(got[j].kept == (expected[j] <= k / 0.05) for j in range(i))
+
+
 def test_outlier_rules_of_odd_tables(spark):
     df = spark.createDataFrame(ODD, DOCS)
     got = quality_rules.judge(quality_rules.statistics_of(df)).collect()
