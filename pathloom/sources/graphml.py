@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.operators.graph import collapse_edges, upsert_nodes
 
 _DATA = "array<struct<_key string, _VALUE string>>"
-_SCHEMA = f"""key array<struct<_id string, _for string, `_attr.name` string, `_attr.type` string, default string>>,
-graph struct<_edgedefault string, node array<struct<_id string, data {_DATA}>>, edge array<struct<_id string, _source string, _target string, data {_DATA}>>>"""
+_KEY = "_id string, _for string, `_attr.name` string, `_attr.type` string, default string"
 
 
 def _bag(data: Column, keys: Column, domain: str, own_id: Column | None = None) -> Column:
@@ -35,12 +34,20 @@ def _bag(data: Column, keys: Column, domain: str, own_id: Column | None = None)
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a file in document order; a missing file is an error, an undirected edge keeps its direction.
 
-    Nodes and ordered pairs that occur again take the attributes of their last occurrence and the place of their first."""
-    file = spark.read.format("xml").option("rowTag", "graphml").option("ignoreSurroundingSpaces", "false").schema(_SCHEMA).load(path)
-    keys = F.coalesce(F.col("key"), F.expr("CAST(array() AS array<struct<_id string, _for string, `_attr.name` string, `_attr.type` string, default string>>)"))
-    whole = file.select(keys.alias("keys"), F.col("graph.node").alias("n"), F.col("graph.edge").alias("e"))
-    nodes = whole.select("keys", F.posexplode("n").alias("ord", "x")).select(F.col("ord").cast("long").alias("ord"), F.col("x._id").alias("id"), _bag(F.col("x.data"), F.col("keys"), "node").alias("attrs"))
-    edges = whole.select("keys", F.posexplode("e").alias("ord", "x")).select(F.col("ord").cast("long").alias("ord"), F.col("x._source").alias("src"), F.col("x._target").alias("dst"), _bag(F.col("x.data"), F.col("keys"), "edge", F.col("x._id")).alias("attrs"))
+    Nodes and ordered pairs that occur again take the attributes of their last occurrence and the place of their first. Every
+    element is a row of its own, so that no row grows with the file; only the declared keys reach the driver."""
+
+    def elements(tag: str, schema: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", tag).option("ignoreSurroundingSpaces", "false").schema(schema).load(path)
+
+    declared = [tuple(k) for k in elements("key", _KEY).collect()]
+    one = spark.createDataFrame([(declared,)], f"keys array<struct<{_KEY}>>").withColumn("_k", F.lit(1))
+    # a file is read by one task from its start to its end, so that ids grow with the place in it
+    place = F.monotonically_increasing_id().alias("ord")
+    n = elements("node", f"_id string, data {_DATA}").select(place, "*", F.lit(1).alias("_k")).join(F.broadcast(one), "_k")
+    e = elements("edge", f"_id string, _source string, _target string, data {_DATA}").select(place, "*", F.lit(1).alias("_k")).join(F.broadcast(one), "_k")
+    nodes = n.select("ord", F.col("_id").alias("id"), _bag(F.col("data"), F.col("keys"), "node").alias("attrs"))
+    edges = e.select("ord", F.col("_source").alias("src"), F.col("_target").alias("dst"), _bag(F.col("data"), F.col("keys"), "edge", F.col("_id")).alias("attrs"))
     return upsert_nodes(nodes), collapse_edges(edges)
 
 
