@@ -9,6 +9,7 @@ that of all documents."""
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -86,33 +87,44 @@ def _joined(rows: DataFrame, model: DataFrame) -> DataFrame:
     return rows.join(small(other, 100_000), F.col("level").eqNullSafe(F.col("_level")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))).drop("_level", "_lang", "_source")
 
 
-def _settled(old: DataFrame, new: DataFrame, tolerance: float) -> bool:
-    """Whether no group's log-determinant differs by more than the tolerance; one row reaches the driver."""
+def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows whose group is not among the others."""
+    other = others.select(*(F.col(c).alias(f"_{c}") for c in _GROUP))
+    return rows.join(small(other, 100_000), F.col("level").eqNullSafe(F.col("_level")) & F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left_anti")
+
+
+def _falling(old: DataFrame, new: DataFrame, tolerance: float) -> DataFrame:
+    """The rows of `new` whose log-determinant lies more than the tolerance below that of their group in `old`."""
     before = old.select(*_GROUP, F.col("log_det").alias("_before"))
-    moved = _joined(new.select(*_GROUP, "log_det"), before).agg(F.max(F.abs(F.col("log_det") - F.col("_before")))).first()[0]
-    return moved is None or moved <= tolerance
+    return _joined(new, before).filter(F.col("_before") - F.col("log_det") > tolerance).select(*new.columns)
 
 
 def estimates(stats: DataFrame, part: float = 0.75, tolerance: float = 1e-3, steps: int = 20) -> DataFrame:
     """One row per group of the levels 0 (language and source), 1 (language) and 2 (all): mean, precision, scale and rows.
 
-    Concentration steps go on until no group's log-determinant moves by more than `tolerance`, or `steps` are done (each
-    lowers the determinant, so they do settle, in about five). There is one start, the same on every run. `scale` makes the group's median squared distance that of a chi-square distribution with K degrees of freedom."""
+    A group takes concentration steps until one lowers the log-determinant by no more than `tolerance`, or `steps` are done
+    (each lowers it, so they do settle, in about five). There is one start, the same on every run. `scale` makes the group's median squared distance that of a chi-square distribution with K degrees of freedom."""
     levels = F.array(F.struct(F.lit(0).alias("level"), F.col("lang").alias("lang"), F.col("source").alias("source")), F.struct(F.lit(1).alias("level"), F.col("lang").alias("lang"), F.lit(None).cast("string").alias("source")), F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
     rows = stats.select("x", F.explode(levels).alias("g")).select("g.*", "x")
     item = [F.get("x", F.lit(i)) for i in range(K)]
     middle = written(rows.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for c in item)).alias("q")), "quartiles")
     spread = lambda i: F.pow((F.col("q")[i][2] - F.col("q")[i][0]) / 1.349, 2) + list(VECTOR.values())[i] ** 2
     model = middle.select(*_GROUP, "n", F.array(*(F.col("q")[i][1] for i in range(K))).alias("mean"), F.array(*((1 / spread(i)) if i == j else F.lit(0.0) for i in range(K) for j in range(K))).alias("precision"))
+    moving, settled = model, []
     for step in range(steps):
-        near = _joined(rows, model).withColumn("d", _distance(F.col("x"), F.col("mean"), F.col("precision"))).select(*_GROUP, "x", "d")
+        near = _joined(rows, moving).withColumn("d", _distance(F.col("x"), F.col("mean"), F.col("precision"))).select(*_GROUP, "x", "d")
         cuts = written(near.groupBy(*_GROUP).agg(F.percentile_approx("d", F.lit(part), 1000).alias("cut")), "cuts")
         inside = _joined(near, cuts).filter("d <= cut")
         sums = inside.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(c) for c in item)).alias("sums"), *(F.sum(item[i] * item[j]).alias(f"p{i}_{j}") for i in range(K) for j in range(i + 1)))
         full = sums.select(*_GROUP, "n", "sums", F.array(*(F.col(f"p{max(i, j)}_{min(i, j)}") for i in range(K) for j in range(K))).alias("products"))
-        last, model = model, written(full.mapInPandas(_inverted, _MODEL), "model")
-        if step and _settled(last, model, tolerance):
+        last, model = moving, written(full.mapInPandas(_inverted, _MODEL), "model")
+        moving = written(_falling(last, model, tolerance), "moving") if step else model
+        settled.append(_without(model, moving))
+        if not moving.limit(1).count():
             break
+    else:
+        settled.append(moving)
+    model = written(functools.reduce(DataFrame.unionByName, settled), "models")
     last = _joined(rows, model).withColumn("d", _distance(F.col("x"), F.col("mean"), F.col("precision")))
     medians = last.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx("d", F.lit(0.5), 1000).alias("median"))
     chi = K * (1 - 2 / (9 * K)) ** 3  # the median of a chi-square distribution, by Wilson and Hilferty

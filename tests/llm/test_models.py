@@ -67,7 +67,7 @@ def _plain_estimate(x, part=0.75):
         near = x[d <= rank(d, part)]
         mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors)
         now = np.linalg.slogdet(cov)[1]
-        if last is not None and abs(last - now) <= 1e-3:
+        if last is not None and last - now <= 1e-3:
             break
         last = now
     d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
