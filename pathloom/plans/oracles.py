@@ -104,11 +104,11 @@ SELECT i AS draw_id, id AS start FROM range(1000) t(i) JOIN placed ON place = {_
 def _walks(hops: int = 999) -> str:
     tries = ", ".join(_draw("o.out", "'42'", "w.draw_id", "w.step", str(k)) for k in range(8))
     return f"""outs AS (SELECT src, count(*) AS out FROM edges GROUP BY src),
-steps AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY substr(md5(dst), 1, 2), dst) - 1 AS place FROM edges),
+placed_steps AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY substr(md5(dst), 1, 2), dst) - 1 AS place FROM edges),
 walk AS (SELECT draw_id, start, start AS cur, [start] AS nodes, 0 AS step FROM draws
  UNION ALL SELECT draw_id, start, dst, list_append(nodes, dst), step + 1 FROM (
   SELECT w.*, e.dst, row_number() OVER (PARTITION BY w.draw_id ORDER BY CASE WHEN list_contains(w.tries, e.place) THEN list_position(w.tries, e.place) ELSE 9 END, md5('42:' || w.draw_id || ':' || w.step || ':' || e.dst), e.dst) AS rn
-  FROM (SELECT w.*, [{tries}] AS tries FROM walk w JOIN outs o ON o.src = w.cur WHERE w.step < {hops}) w JOIN steps e ON e.src = w.cur WHERE NOT list_contains(w.nodes, e.dst)) WHERE rn = 1),
+  FROM (SELECT w.*, [{tries}] AS tries FROM walk w JOIN outs o ON o.src = w.cur WHERE w.step < {hops}) w JOIN placed_steps e ON e.src = w.cur WHERE NOT list_contains(w.nodes, e.dst)) WHERE rn = 1),
 walks AS (SELECT draw_id, any_value(start) AS start, arg_max(nodes, step) AS nodes, (max(step) + 1)::INT AS length FROM walk GROUP BY draw_id)"""
 
 
