@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,22 +66,116 @@ def walk_losses(walks: DataFrame) -> DataFrame:
     return walks.agg(F.count(F.lit(1)).alias("walks"), F.count_if(F.col("length") < 2).alias("dropped_short"))
 
 
+def _into(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """The steps that paths from the starts (column id) may take; all of them where every step leaves a start."""
+    if not steps.select(F.col("src").alias("id")).distinct().join(starts, "id", "left_anti").limit(1).count():
+        return steps
+    seen = last = starts.distinct()
+    while True:
+        onward = steps.join(last.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        last = written(onward.join(seen, "id", "left_anti"), "reached")
+        if not last.limit(1).count():
+            return written(steps.join(seen.withColumnRenamed("id", "src"), "src", "left_semi"), "steps")
+        seen = seen.unionByName(last)
+
+
+class _Parts:
+    """The paths from the starts in two parts, so that none is written as a whole.
+
+    No cycle can be reached from a free node, so what may follow it on a path never depends on what came before: its tails are
+    listed (or, for `lengths`, counted by hops) once, from the ends backwards, a round for each level. Beginnings grow from the
+    starts step by step as far as the first free node. A maximal path is a beginning and one of the tails of its last node."""
+
+    def __init__(self, edges: DataFrame, starts: DataFrame, max_hops: int, lengths: bool) -> None:
+        self.lengths, self.max_hops = lengths, max_hops
+        starts = starts.select("id")
+        steps = _into(written(edges.select("src", "dst").filter("src <> dst").distinct(), "steps"), starts)  # a self-loop leads to nothing new
+        sources = written(steps.select("src").distinct(), "sources")
+        inner = sources.select(F.col("src").alias("dst"), F.lit(True).alias("_i"))
+        self.steps = written(steps.join(inner, "dst", "left").select("src", "dst", F.coalesce("_i", F.lit(False)).alias("inner")), "steps")
+        self.free, self.tails, self.levels = None, None, 0
+        self._peel(sources)
+        self._begin(starts)
+
+    def _peel(self, sources: DataFrame) -> None:
+        blocked, core = self.steps.filter("inner").select("src", "dst"), sources
+        while self.levels < self.max_hops:
+            ready = written(core.join(blocked.select("src").distinct(), "src", "left_anti"), "free")
+            if not ready.limit(1).count():
+                break
+            self.levels += 1
+            tails = written(self._tails_of(ready), "tails")
+            self.tails = tails if self.tails is None else self.tails.unionByName(tails)
+            self.free = ready if self.free is None else self.free.unionByName(ready)
+            core = written(core.join(ready, "src", "left_anti"), "core")
+            blocked = written(blocked.join(ready.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "blocked")
+        self.core = core
+
+    def _tails_of(self, ready: DataFrame) -> DataFrame:
+        mine = self.steps.join(ready, "src", "left_semi")
+        ends, more = mine.filter("not inner"), mine.filter("inner")
+        if self.lengths:
+            found = ends.select(F.col("src").alias("id"), F.lit(1).alias("hops"), F.lit(1).cast("long").alias("n"))
+            if self.tails is not None:
+                found = found.unionByName(more.select(F.col("src").alias("_s"), F.col("dst").alias("id")).join(self.tails, "id").select(F.col("_s").alias("id"), (F.col("hops") + 1).alias("hops"), "n"))
+            return found.groupBy("id", "hops").agg(F.sum("n").alias("n"))
+        found = ends.select(F.col("src").alias("id"), F.array("dst").alias("tail"))
+        if self.tails is None:
+            return found
+        return found.unionByName(more.select(F.col("src").alias("_s"), F.col("dst").alias("id")).join(self.tails, "id").select(F.col("_s").alias("id"), F.concat(F.array("id"), "tail").alias("tail")))
+
+    def _begin(self, starts: DataFrame) -> None:
+        """Sets whole, paths (start, nodes) that end without a tail, and begun, those whose last node has tails."""
+        free = starts.limit(0).select("id", F.lit(True).alias("_f")) if self.free is None else self.free.select(F.col("src").alias("id"), F.lit(True).alias("_f"))
+        first = lambda ids: ids.select(F.col("id").alias("start"), F.array("id").alias("nodes"), "id")
+        begun, whole = [first(starts.join(free, "id", "left_semi"))], []
+        onward = self.steps.join(self.core, "src", "left_semi").join(free.withColumnRenamed("id", "dst"), "dst", "left")
+        onward = written(onward.select("src", "dst", "inner", F.coalesce("_f", F.lit(False)).alias("free")), "onward")
+        active = first(starts.join(self.core.withColumnRenamed("src", "id"), "id", "left_semi"))
+        self.rounds = 0
+        while self.rounds < self.max_hops:
+            step = (F.col("id") == onward["src"]) & ~F.array_contains("nodes", F.col("dst"))
+            grown = written(active.join(onward, step, "left").select("start", "nodes", "dst", "inner", "free"), "paths")
+            self.rounds += 1
+            longer = F.array_append("nodes", F.col("dst")).alias("nodes")
+            whole += [grown.filter(F.col("dst").isNull() & (F.size("nodes") > 1)).select("start", "nodes"), grown.filter("not inner").select("start", longer)]
+            begun.append(grown.filter("free").select("start", longer, F.col("dst").alias("id")))
+            active = grown.filter("inner and not free").select("start", longer, F.col("dst").alias("id"))
+            if not active.limit(1).count():
+                break
+        else:
+            whole.append(active.select("start", "nodes").filter(F.size("nodes") > 1))
+        union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+        self.begun, self.whole = union(begun), union(whole) if whole else active.limit(0).select("start", "nodes")
+
+    @property
+    def cut(self) -> bool:
+        """Whether some beginning and tail may be longer than max_hops together."""
+        return self.rounds + self.levels > self.max_hops
+
+
 def maximal_paths(edges: DataFrame, starts: DataFrame, max_hops: int = 999) -> DataFrame:
     """start, nodes and length of every maximal simple path of more than one node from the starts (column id).
 
-    A round is one outer join on the last node: a path without an unvisited successor comes out of it unextended and is done."""
-    steps = written(edges.select("src", "dst").distinct(), "steps")
-    active = starts.select(F.col("id").alias("start"), F.col("id").alias("cur"), F.array("id").alias("nodes"))
-    out = None
-    for _ in range(max_hops):
-        onward = (F.col("cur") == steps["src"]) & ~F.array_contains("nodes", F.col("dst"))
-        grown = written(active.join(steps, onward, "left").select("start", "nodes", "dst"), "paths")
-        stuck = grown.filter(F.col("dst").isNull() & (F.size("nodes") > 1)).select("start", "nodes")
-        out = stuck if out is None else out.unionByName(stuck)
-        active = grown.filter("dst is not null").select("start", F.col("dst").alias("cur"), F.array_append("nodes", F.col("dst")).alias("nodes"))
-        if not active.limit(1).count():
-            break
-    else:
-        last = active.select("start", "nodes")
-        out = last if out is None else out.unionByName(last)
-    return out.filter(F.size("nodes") > 1).withColumn("length", F.size("nodes"))
+    Paths are put together from beginnings and tails in one join, whose rows are the result; see _Parts."""
+    parts = _Parts(edges, starts, max_hops, lengths=False)
+    out = parts.whole
+    if parts.tails is not None:
+        joined = parts.begun.join(parts.tails, "id").select("start", F.concat("nodes", "tail").alias("nodes"))
+        if parts.cut:
+            short = F.size("nodes") <= max_hops + 1
+            joined = joined.filter(short).unionByName(joined.filter(~short).select("start", F.slice("nodes", 1, max_hops + 1).alias("nodes")).distinct())
+        out = out.unionByName(joined)
+    return out.withColumn("length", F.size("nodes"))
+
+
+def path_lengths(edges: DataFrame, starts: DataFrame, max_hops: int = 999) -> DataFrame:
+    """length and n, the number of maximal_paths() of that length, which are counted and not listed beyond their beginnings."""
+    parts = _Parts(edges, starts, max_hops, lengths=True)
+    if parts.cut:
+        return maximal_paths(edges, starts, max_hops).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    out = parts.whole.groupBy(F.size("nodes").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    if parts.tails is not None:
+        begun = parts.begun.groupBy("id", F.size("nodes").alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+        out = out.unionByName(begun.join(parts.tails, "id").select((F.col("_l") + F.col("hops")).alias("length"), (F.col("_n") * F.col("n")).alias("n")))
+    return out.groupBy("length").agg(F.sum("n").alias("n"))
