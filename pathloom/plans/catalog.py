@@ -265,7 +265,7 @@ def maximal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.PATH_HISTOGRAM)
 def path_len_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = trade_graph(spark, sf_dir)
-    return walk.maximal_paths(edges, nodes).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    return walk.path_lengths(edges, nodes)
 
 
 @query(oracles.JACCARD)
