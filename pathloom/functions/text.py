@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.model import QA
@@ -12,6 +12,11 @@ from pathloom.model import QA
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, each worked out once a row: they come out of a generator, which no filter or column is moved into."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.btrim(c, F.lit(SPACES))
@@ -58,5 +63,17 @@ def parsed(clean: Column) -> Column:
     strict = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
     found = F.from_json(clean, QA, strict)
     again = F.from_json(repaired(clean), QA, strict)
-    usable = lambda s: s.isNotNull() & (s["question"].isNotNull() | s["answer"].isNotNull() | s["difficulty"].isNotNull())
-    return F.when(_closed(clean), F.when(usable(found), found).otherwise(F.when(usable(again), again)))
+    return F.when(_closed(clean), F.when(_usable(found), found).otherwise(F.when(_usable(again), again)))
+
+
+def _usable(s: Column) -> Column:
+    return s.isNotNull() & (s["question"].isNotNull() | s["answer"].isNotNull() | s["difficulty"].isNotNull())
+
+
+def with_parsed(df: DataFrame, clean: Column, name: str) -> DataFrame:
+    """df with parsed(clean) as `name`: each reply is cleaned once, read once, and repaired and read again only where that failed."""
+    strict = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+    c, found, again = F.col("_clean"), F.col("_found"), F.col("_again")
+    df = once(once(df, _clean=clean), _found=F.from_json(c, QA, strict), _closed=_closed(c))
+    df = once(df, _again=F.when(F.col("_closed") & ~_usable(found), F.from_json(repaired(c), QA, strict)))
+    return once(df, **{name: F.when(F.col("_closed"), F.when(_usable(found), found).otherwise(F.when(_usable(again), again)))}).drop("_clean", "_found", "_closed", "_again")
