@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pathloom.functions.score import with_scores
-from pathloom.functions.text import parsed, unfenced
+from pathloom.functions.text import unfenced, with_parsed
 from pathloom.model import ValidationConfig
 
 
 def score_responses(responses: DataFrame, config: ValidationConfig = ValidationConfig()) -> DataFrame:
     """draw_id, question, answer, difficulty, scores, is_valid and reject_reason of raw replies."""
-    qa = responses.withColumn("qa", parsed(unfenced(F.col("raw"))))
+    qa = with_parsed(responses.select("draw_id", "raw"), unfenced(F.col("raw")), "qa")
     rows = with_scores(qa.select("draw_id", "raw", F.col("qa").isNull().alias("_bad"), F.col("qa.question").alias("question"), F.col("qa.answer").alias("answer"), F.col("qa.difficulty").alias("difficulty")), F.col("question"), F.col("answer"), config)
     reason = F.when(F.coalesce(F.col("raw"), F.lit("")) == "", "no_response").when(F.col("_bad"), "bad_json").otherwise(F.col("reject_reason"))
     return rows.withColumn("reject_reason", reason).drop("raw", "_bad")

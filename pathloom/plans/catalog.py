@@ -134,7 +134,7 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies whose strings hold raw line breaks and tabs."""
     pairs = _numbered(spark, sf_dir)
     raw = F.concat(F.lit('{"question": "'), F.regexp_replace("question", '["\\\\]', ""), F.lit('",\n\t"answer": "'), F.regexp_replace("answer", '["\\\\]', ""), F.lit('"}'))
-    found = pairs.select("draw_id", text.parsed(text.unfenced(raw)).alias("qa"))
+    found = text.with_parsed(pairs.select("draw_id", raw.alias("raw")), text.unfenced(F.col("raw")), "qa")
     return found.select("draw_id", F.col("qa.question").alias("question"), F.md5(F.col("qa.answer").cast("binary")).alias("answer_md5"))
 
 
