@@ -57,7 +57,7 @@ def neighbors(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
     """start, id and hop for the nodes whose shortest distance along edges from each start (column id) is 1 to depth.
 
     A start is not its own neighbour; one without edges, known or not, has none. Each round is written, so that plans stay short."""
-    steps = edges.select(F.col("src"), F.col("dst")).distinct()
+    steps = written(edges.select("src", "dst").distinct(), "steps")  # every round reads them
     seen = written(starts.select(F.col("id").alias("start"), F.col("id"), F.lit(0).alias("hop")).distinct(), "hop")
     last = seen
     for hop in range(1, depth + 1):
