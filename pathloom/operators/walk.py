@@ -11,16 +11,22 @@ from pathloom.functions.draws import below
 from pathloom.operators.scratch import written
 
 
-def placed_steps(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def placed_steps(edges: DataFrame, store: bool = True) -> tuple[DataFrame, DataFrame]:
     """(src, dst and place, which numbers the distinct successors of each src from 0; src and out, how many it has).
 
-    Places go by 256 buckets of the md5 of dst and by dst within them, so that no task orders all successors of a hub."""
+    Places go by 256 buckets of the md5 of dst and by dst within them, so that no task orders all successors of a hub.
+    Both are written where they are to be read often (`store`); the distinct edges are in any case."""
+    kept = written if store else lambda df, name: df
     bucketed = written(edges.select("src", "dst").distinct().withColumn("_b", F.substring(F.md5(F.col("dst").cast("binary")), 1, 2)), "steps")
     before = F.sum("n").over(Window.partitionBy("src").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # at most 256 rows each
     sizes = bucketed.groupBy("src", "_b").agg(F.count(F.lit(1)).alias("n")).select("src", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("src", "_b").orderBy("dst")) - 1
     ranked = bucketed.withColumn("_r", within).join(sizes, ["src", "_b"])
-    return written(ranked.select("src", "dst", (F.col("_before") + F.col("_r")).cast("long").alias("place")), "steps"), written(bucketed.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "outs")
+    return kept(ranked.select("src", "dst", (F.col("_before") + F.col("_r")).cast("long").alias("place")), "steps"), kept(bucketed.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "outs")
+
+
+#: So many draws are sent to every task at most; more meet the edges by shuffle.
+FEW = 100_000
 
 
 def random_walks(draws: DataFrame, edges: DataFrame, max_hops: int = 999, seed: int = 42, tries: int = 8) -> DataFrame:
@@ -29,19 +35,26 @@ def random_walks(draws: DataFrame, edges: DataFrame, max_hops: int = 999, seed:
     Each step draws `tries` places among the successors and takes the first that leads to an unvisited one, which is a
     uniform choice; a draw costs so many rows however many neighbours a hub has. Only where all of them were visited before
     are the unvisited successors listed, and the one whose md5 of seed, draw, step and id is smallest is next, uniform too.
-    Rounds are written to the shared folder; their number is that of the longest walk."""
-    steps, outs = placed_steps(edges)
+    Few draws are sent to the edges, and a step numbers the successors of the nodes where they stand only: no step shuffles all
+    edges. For more draws all successors are numbered once. Rounds are written to the shared folder; their number is that of
+    the longest walk."""
     active = written(draws.select("draw_id", "start", F.col("start").alias("cur"), F.array("start").alias("nodes")), "walks")
+    few = active.count() <= FEW
+    if not few:
+        steps, outs = placed_steps(edges)
     ended = []
     for step in range(max_hops):
+        if few:
+            here = active.select(F.col("cur").alias("src")).distinct()
+            steps, outs = placed_steps(edges.select("src", "dst").join(F.broadcast(here), "src", "left_semi"), store=False)
         drawn = F.posexplode(F.array(*(below(F.col("out"), seed, F.col("draw_id"), step, k) for k in range(tries)))).alias("k", "place")
         asked = active.select("draw_id", F.col("cur").alias("src")).join(outs, "src").select("draw_id", "src", drawn)
-        met = asked.join(steps, ["src", "place"]).groupBy("draw_id").agg(F.array_sort(F.collect_list(F.struct("k", "dst")))["dst"].alias("met"))
+        met = (F.broadcast(asked) if few else asked).join(steps, ["src", "place"]).groupBy("draw_id").agg(F.array_sort(F.collect_list(F.struct("k", "dst")))["dst"].alias("met"))
         first = F.get(F.filter("met", lambda d: ~F.array_contains("nodes", d)), F.lit(0))
         tried = written(active.join(met, "draw_id", "left").select("draw_id", "start", "cur", "nodes", first.alias("dst")), "walks")
         choice = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw_id").cast("string"), F.lit(str(step)), "dst").cast("binary")), F.col("dst"))
         stuck = tried.filter("dst is null").select("draw_id", "cur", "nodes")
-        options = stuck.join(steps, F.col("cur") == steps["src"]).filter(~F.array_contains("nodes", F.col("dst")))
+        options = (F.broadcast(stuck) if few else stuck).join(steps, F.col("cur") == steps["src"]).filter(~F.array_contains("nodes", F.col("dst")))
         chosen = options.groupBy("draw_id").agg(F.min(choice)["dst"].alias("_other"))
         moved = written(tried.join(chosen, "draw_id", "left").select("draw_id", "start", "nodes", F.coalesce("dst", "_other").alias("dst")), "walks")
         ended.append(moved.filter("dst is null").select("draw_id", "start", "nodes"))
