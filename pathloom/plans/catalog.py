@@ -324,20 +324,20 @@ for _domain in prompt.TEMPLATES:
 @query(oracles.chat_sql(200, prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
 def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: graph, draws, walks, dedup, prompts, offline replies, scores, chat messages."""
-    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200))
+    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200), stored=True)
     said = lambda i: F.col("messages")[i]["content"]
     return run.examples.select("draw_id", said(0).alias("question"), said(1).alias("answer"), "quality_score")
 
 
 @query(oracles.rejects_sql(200, prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
 def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200))
+    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200), stored=True)
     return run.scored.groupBy("difficulty", F.coalesce("reject_reason", F.lit("accepted")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(oracles.metadata_sql(200, prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = (written(df, "graph") for df in trade_graph(spark, sf_dir))
+    nodes, edges = trade_graph(spark, sf_dir)
     gen = GenerationConfig(count=200)
     found = generate.metadata(generate.generate(spark, nodes, edges, gen, stored=True), nodes, edges, gen)
     g, c = "generation_config", "cost"
@@ -347,8 +347,7 @@ def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def autotune_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = (written(df, "graph") for df in trade_graph(spark, sf_dir))
-    return generate.autotune(spark, nodes, edges, 200).breakdown(spark)
+    return generate.autotune(spark, *trade_graph(spark, sf_dir), 200, stored=True).breakdown(spark)
 
 
 @query(oracles.TIER_WARNINGS)

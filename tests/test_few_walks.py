@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pathloom.operators import walk
-from pathloom.plans import catalog
+from pathloom.plans import catalog, generate
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +22,10 @@ def test_a_step_numbers_the_successors_of_few_nodes(spark, monkeypatch):
     assert all(df.count() < 200 for name, df in spied if name == "steps")
     monkeypatch.setattr(walk, "FEW", 0)
     assert {r.draw_id: r.nodes for r in walk.random_walks(draws, edges, max_hops=3).collect()} == few
+
+
+def test_stored_graphs_are_not_copied_and_degrees_counted_once(spark, monkeypatch):
+    spied = _spied(monkeypatch, generate)
+    assert catalog.autotune_summary(spark, SF).count()
+    names = [name for name, _ in spied]
+    assert names.count("degrees") == 1 and not {"graph", "nodes", "edges"} & set(names)
