@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pathloom.model import EDGES, NODES, TIERS
 from pathloom.operators import walk
 from pathloom.plans import catalog, generate
 
@@ -26,6 +27,8 @@ def test_a_step_numbers_the_successors_of_few_nodes(spark, monkeypatch):
 
 def test_stored_graphs_are_not_copied_and_degrees_counted_once(spark, monkeypatch):
     spied = _spied(monkeypatch, generate)
-    assert catalog.autotune_summary(spark, SF).count()
+    nodes = spark.createDataFrame([(0, "a", []), (1, "b", [])], NODES)
+    edges = spark.createDataFrame([(0, "a", "b", [])], EDGES)
+    assert len(generate.autotune(spark, nodes, edges, 2, tiers=TIERS[:2], stored=True).tiers) == 2
     names = [name for name, _ in spied]
     assert names.count("degrees") == 1 and not {"graph", "nodes", "edges"} & set(names)
