@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import resolve
@@ -18,9 +18,9 @@ def upsert_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.min("ord").alias("ord"), F.max_by("attrs", "ord").alias("attrs")).select("ord", "id", "attrs")
 
 
-def collapse_edges(edges: DataFrame) -> DataFrame:
-    """One row per ordered pair: the attributes of its last row (of equal ones the greatest bag) at the place of its first."""
-    return edges.groupBy("src", "dst").agg(F.min("ord").alias("ord"), F.max(F.struct("ord", "attrs"))["attrs"].alias("attrs")).select("ord", "src", "dst", "attrs")
+def collapse_edges(edges: DataFrame, ends: tuple[str, str] = ("src", "dst")) -> DataFrame:
+    """One row per ordered pair of ends: the attributes of its last row (of equal ones the greatest bag) at the place of its first."""
+    return edges.groupBy(*ends).agg(F.min("ord").alias("ord"), F.max(F.struct("ord", "attrs"))["attrs"].alias("attrs")).select("ord", *ends, "attrs")
 
 
 def resolved_nodes(nodes: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def adjacency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """ord, id, degree, out_degree and in_degree of every node; a self-loop counts twice."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o")))).alias("x")).select("x.*")
+    ends = edges.select(F.stack(F.lit(2), F.col("src"), F.lit(1), F.col("dst"), F.lit(0)).alias("id", "o"))
     counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("o").alias("out_degree"))
     joined = nodes.select("ord", "id").join(counts, "id", "left").na.fill(0, ["degree", "out_degree"])
     return joined.select("ord", "id", "degree", "out_degree", (F.col("degree") - F.col("out_degree")).alias("in_degree"))
@@ -73,15 +73,26 @@ def successors(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("start"), F.col("dst").alias("id")).distinct().join(known, "start", "left_semi")
 
 
+def in_ranges(df: DataFrame, order: str, buckets: int) -> DataFrame:
+    """df with _p, the number of the range of about equal ranges of `order` that a row is in.
+
+    A row is compared with as many bounds as a binary search takes; to add up comparisons with all of them took far longer."""
+    bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(F.col(order) > bounds[middle], search(middle + 1, hi)).otherwise(search(lo, middle))
+
+    return df.withColumn("_p", search(0, len(bounds)))
+
+
 def ranked(df: DataFrame, order: str, name: str, buckets: int = 64) -> DataFrame:
     """df with the dense rank from 0 of its distinct longs `order` as `name`.
 
     Ranges of the column are ranked each by itself and shifted by the sizes of those before, so that no task sorts all rows."""
-    bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col(order) > b).cast("int")
-    parts = df.withColumn("_p", part)
+    parts = in_ranges(df, order, buckets)
     sizes = parts.groupBy("_p").count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
     return parts.withColumn("_r", within).join(F.broadcast(sizes), "_p").withColumn(name, (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_b", "_r")

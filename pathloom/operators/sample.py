@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.draws import below
-from pathloom.operators.graph import ranked
+from pathloom.operators.graph import in_ranges, ranked
 
 
 def running_total(df: DataFrame, order: str, amount: str, buckets: int = 64) -> DataFrame:
     """df with lo, the sum of `amount` over the rows before in the order of the distinct longs `order`, in two phases."""
-    bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
-    part = F.lit(0)
-    for b in bounds:
-        part = part + (F.col(order) > b).cast("int")
-    parts = df.withColumn("_p", part)
+    parts = in_ranges(df, order, buckets)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over at most `buckets` rows
     sizes = parts.groupBy("_p").agg(F.sum(amount).alias("_t")).select("_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
     inner = F.coalesce(F.sum(amount).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

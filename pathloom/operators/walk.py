@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -25,18 +26,21 @@ def placed_steps(edges: DataFrame, store: bool = True) -> tuple[DataFrame, DataF
     return kept(ranked.select("src", "dst", (F.col("_before") + F.col("_r")).cast("long").alias("place")), "steps"), kept(bucketed.groupBy("src").agg(F.count(F.lit(1)).alias("out")), "outs")
 
 
+#: From nodes (column id) to the edges that leave them.
+Leaving = Callable[[DataFrame], DataFrame]
 #: So many draws are sent to every task at most; more meet the edges by shuffle.
 FEW = 100_000
 
 
-def random_walks(draws: DataFrame, edges: DataFrame, max_hops: int = 999, seed: int = 42, tries: int = 8) -> DataFrame:
+def random_walks(draws: DataFrame, edges: DataFrame, max_hops: int = 999, seed: int = 42, tries: int = 8, leaving: Leaving | None = None) -> DataFrame:
     """draw_id, start, nodes and length of a walk from each draw's start, until no unvisited successor is left or at max_hops.
 
     Each step draws `tries` places among the successors and takes the first that leads to an unvisited one, which is a
     uniform choice; a draw costs so many rows however many neighbours a hub has. Only where all of them were visited before
     are the unvisited successors listed, and the one whose md5 of seed, draw, step and id is smallest is next, uniform too.
     Few draws are sent to the edges, and a step numbers the successors of the nodes where they stand only: no step shuffles all
-    edges. For more draws all successors are numbered once. Rounds are written to the shared folder; their number is that of
+    edges. `leaving` gives the edges that leave given nodes (column id), where the source of the graph finds them with less work
+    than by comparing the ids of all. For more draws all successors are numbered once. Rounds are written to the shared folder; their number is that of
     the longest walk."""
     active = written(draws.select("draw_id", "start", F.col("start").alias("cur"), F.array("start").alias("nodes")), "walks")
     few = active.count() <= FEW
@@ -45,8 +49,9 @@ def random_walks(draws: DataFrame, edges: DataFrame, max_hops: int = 999, seed:
     ended = []
     for step in range(max_hops):
         if few:
-            here = active.select(F.col("cur").alias("src")).distinct()
-            steps, outs = placed_steps(edges.select("src", "dst").join(F.broadcast(here), "src", "left_semi"), store=False)
+            here = active.select(F.col("cur").alias("id")).distinct()
+            there = leaving(here) if leaving else edges.join(F.broadcast(here.withColumnRenamed("id", "src")), "src", "left_semi")
+            steps, outs = placed_steps(there, store=False)
         drawn = F.posexplode(F.array(*(below(F.col("out"), seed, F.col("draw_id"), step, k) for k in range(tries)))).alias("k", "place")
         asked = active.select("draw_id", F.col("cur").alias("src")).join(outs, "src").select("draw_id", "src", drawn)
         met = (F.broadcast(asked) if few else asked).join(steps, ["src", "place"]).groupBy("draw_id").agg(F.array_sort(F.collect_list(F.struct("k", "dst")))["dst"].alias("met"))

@@ -237,7 +237,7 @@ def sample_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(walk.random_walks(_weighted(spark, sf_dir), tables.trade_edges(spark, sf_dir)), "walked")
+    return written(walk.random_walks(_weighted(spark, sf_dir), tables.trade_edges(spark, sf_dir), leaving=tables.trade_edges_leaving(spark, sf_dir)), "walked")
 
 
 @query(oracles.RANDOM_WALK)
@@ -252,7 +252,7 @@ def walk_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.CAPPED_WALK)
 def random_walk_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = walk.random_walks(_weighted(spark, sf_dir), tables.trade_edges(spark, sf_dir), max_hops=2)
+    found = walk.random_walks(_weighted(spark, sf_dir), tables.trade_edges(spark, sf_dir), max_hops=2, leaving=tables.trade_edges_leaving(spark, sf_dir))
     return found.select("draw_id", "start", F.array_join("nodes", ">").alias("path"), "length")
 
 
@@ -324,14 +324,14 @@ for _domain in prompt.TEMPLATES:
 @query(oracles.chat_sql(200, prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
 def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: graph, draws, walks, dedup, prompts, offline replies, scores, chat messages."""
-    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200), stored=True)
+    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200), stored=True, leaving=tables.trade_edges_leaving(spark, sf_dir))
     said = lambda i: F.col("messages")[i]["content"]
     return run.examples.select("draw_id", said(0).alias("question"), said(1).alias("answer"), "quality_score")
 
 
 @query(oracles.rejects_sql(200, prompt.TEMPLATES["generic"].head(), prompt.CONTEXT, prompt.TEMPLATES["generic"].tail()))
 def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200), stored=True)
+    run = generate.generate(spark, *trade_graph(spark, sf_dir), GenerationConfig(count=200), stored=True, leaving=tables.trade_edges_leaving(spark, sf_dir))
     return run.scored.groupBy("difficulty", F.coalesce("reject_reason", F.lit("accepted")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -339,7 +339,7 @@ def run_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = trade_graph(spark, sf_dir)
     gen = GenerationConfig(count=200)
-    found = generate.metadata(generate.generate(spark, nodes, edges, gen, stored=True), nodes, edges, gen)
+    found = generate.metadata(generate.generate(spark, nodes, edges, gen, stored=True, leaving=tables.trade_edges_leaving(spark, sf_dir)), nodes, edges, gen)
     g, c = "generation_config", "cost"
     rounded = [F.round(f"{k}.{n}", d).alias(n) for k, n, d in ((g, "acceptance_rate", 9), (c, "total_cost", 9), (c, "avg_cost_per_example", 9), ("quality", "avg_quality", 6))]
     return found.select(f"{g}.count_requested", f"{g}.count_generated", f"{g}.count_rejected", f"{c}.input_tokens", f"{c}.output_tokens", f"{c}.api_calls", "graph.*", *rounded)
@@ -347,7 +347,7 @@ def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def autotune_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.autotune(spark, *trade_graph(spark, sf_dir), 200, stored=True).breakdown(spark)
+    return generate.autotune(spark, *trade_graph(spark, sf_dir), 200, stored=True, leaving=tables.trade_edges_leaving(spark, sf_dir)).breakdown(spark)
 
 
 @query(oracles.TIER_WARNINGS)

@@ -25,28 +25,29 @@ class Run:
     losses: DataFrame
 
 
-def extract_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, config: ExtractionConfig, degrees: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def extract_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, config: ExtractionConfig, degrees: DataFrame | None = None, leaving: walk.Leaving | None = None) -> tuple[DataFrame, DataFrame]:
     """(rendered paths, one row of walks, dropped_short, duplicates_skipped and kept)."""
     if degrees is None:
         degrees = written(graph.degrees(nodes, edges), "degrees")
     starts = sample.sample_starts(spark, degrees, config.sampling, config.max_paths, config.seed)
-    walks = written(walk.random_walks(starts, edges, config.max_hop_depth, config.seed), "walked")
+    walks = written(walk.random_walks(starts, edges, config.max_hop_depth, config.seed, leaving=leaving), "walked")
     long = walk.usable(walks)
     kept = written(dedup.greedy_dedup(long, config.dedup_threshold), "kept")
     losses = walk.walk_losses(walks).withColumn("_k", F.lit(1)).join(dedup.dedup_stats(long, kept).withColumn("_k", F.lit(1)), "_k").drop("_k")
     return render.render_paths(kept, graph.resolved_nodes(nodes), graph.resolved_edges(edges)), losses
 
 
-def generate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, gen: GenerationConfig = GenerationConfig(), extraction: ExtractionConfig | None = None, validation: ValidationConfig = ValidationConfig(), backend: synth.SynthBackend | None = None, backend_config: BackendConfig = BackendConfig(), log: str | None = None, stored: bool = False, degrees: DataFrame | None = None) -> Run:
+def generate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, gen: GenerationConfig = GenerationConfig(), extraction: ExtractionConfig | None = None, validation: ValidationConfig = ValidationConfig(), backend: synth.SynthBackend | None = None, backend_config: BackendConfig = BackendConfig(), log: str | None = None, stored: bool = False, degrees: DataFrame | None = None, leaving: walk.Leaving | None = None) -> Run:
     """One run over a graph. Responses are written before anything reads them, so each prompt is sent once.
 
     With a log, a folder of responses, an interrupted run goes on where it stopped: prompts that it answers are not sent.
     The graph is written first, unless it is `stored` already: written, or made of stored tables by what filters go through,
-    so that the few nodes and edges of its walks are read and not all of them copied. `degrees` are those of the graph, if known."""
+    so that the few nodes and edges of its walks are read and not all of them copied. `degrees` are those of the graph, if known; `leaving`
+    finds its edges by the nodes that they leave, as in random_walks()."""
     if not stored:
         nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     extraction = replace(extraction or ExtractionConfig(), max_paths=gen.count)
-    paths, losses = extract_paths(spark, nodes, edges, extraction, degrees)
+    paths, losses = extract_paths(spark, nodes, edges, extraction, degrees, leaving)
     legend = legend_of(graph.resolved_edges(edges)) if gen.domain in TEMPLATES and TEMPLATES[gen.domain].legend else ""
     paths = written(paths.withColumn("prompt", prompt(F.col("path_str"), gen.domain, F.col("rich_context"), legend)), "paths")
     responses = resume(paths, log, backend, gen, backend_config) if log else written(synth.synthesize(paths, backend, gen, backend_config), "responses")
@@ -81,12 +82,12 @@ class Tuned:
         return spark.createDataFrame(rows, "iteration int, quality_threshold double, dedup_threshold double, temperature double, sampling_strategy string, generated_count long, rejected_count long, avg_quality double, quality_warnings array<string>")
 
 
-def autotune(spark: SparkSession, nodes: DataFrame, edges: DataFrame, target: int, domain: str = "generic", max_hop_depth: int = 999, seed: int = 42, backend: synth.SynthBackend | None = None, backend_config: BackendConfig = BackendConfig(), overshoot: bool = False, dedup_across_tiers: bool = False, tiers: tuple[Tier, ...] = TIERS, log: str | None = None, stored: bool = False) -> Tuned:
+def autotune(spark: SparkSession, nodes: DataFrame, edges: DataFrame, target: int, domain: str = "generic", max_hop_depth: int = 999, seed: int = 42, backend: synth.SynthBackend | None = None, backend_config: BackendConfig = BackendConfig(), overshoot: bool = False, dedup_across_tiers: bool = False, tiers: tuple[Tier, ...] = TIERS, log: str | None = None, stored: bool = False, leaving: walk.Leaving | None = None) -> Tuned:
     """Run tier after tier for what is still missing until `target` examples are there or the tiers are used up.
 
     Examples are merged in order, up to the target. As a rule tiers don't know each other's paths; dedup_across_tiers drops
     examples whose messages an earlier tier has. overshoot asks each tier for half as many again and ten more.
-    The graph is written first unless it is `stored`, as in generate(); its degrees are counted once for all tiers."""
+    The graph is written first unless it is `stored`, and `leaving` finds its edges, as in generate(); its degrees are counted once for all tiers."""
     if not stored:
         nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     degrees = written(graph.degrees(nodes, edges), "degrees")
@@ -98,7 +99,7 @@ def autotune(spark: SparkSession, nodes: DataFrame, edges: DataFrame, target: in
         asked = int(1.5 * missing) + 10 if overshoot else missing
         run = generate(
             spark, nodes, edges, GenerationConfig(asked, domain, tier.temperature), ExtractionConfig(asked, max_hop_depth, tier.dedup_threshold, tier.sampling, seed + tier.number),
-            ValidationConfig(tier.quality_threshold, tier.min_length, 500), backend, backend_config, f"{log}/tier-{tier.number}" if log else None, stored=True, degrees=degrees,
+            ValidationConfig(tier.quality_threshold, tier.min_length, 500), backend, backend_config, f"{log}/tier-{tier.number}" if log else None, stored=True, degrees=degrees, leaving=leaving,
         )
         found = run.examples.select(F.lit(tier.number).alias("tier"), "draw_id", "messages", "quality_score")
         if dedup_across_tiers and merged is not None:
