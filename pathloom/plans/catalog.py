@@ -292,8 +292,7 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = trade_graph(spark, sf_dir)
-    return render.render_paths(walk.usable(_walks(spark, sf_dir)), graph.resolved_nodes(nodes), graph.resolved_edges(edges))
+    return render.render_paths(walk.usable(_walks(spark, sf_dir)), *trade_graph(spark, sf_dir), tables.trade_edges_leaving(spark, sf_dir))
 
 
 @query(oracles.PATH_STR)

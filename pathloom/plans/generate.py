@@ -34,7 +34,7 @@ def extract_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, confi
     long = walk.usable(walks)
     kept = written(dedup.greedy_dedup(long, config.dedup_threshold), "kept")
     losses = walk.walk_losses(walks).withColumn("_k", F.lit(1)).join(dedup.dedup_stats(long, kept).withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return render.render_paths(kept, graph.resolved_nodes(nodes), graph.resolved_edges(edges)), losses
+    return render.render_paths(kept, nodes, edges, leaving), losses
 
 
 def generate(spark: SparkSession, nodes: DataFrame, edges: DataFrame, gen: GenerationConfig = GenerationConfig(), extraction: ExtractionConfig | None = None, validation: ValidationConfig = ValidationConfig(), backend: synth.SynthBackend | None = None, backend_config: BackendConfig = BackendConfig(), log: str | None = None, stored: bool = False, degrees: DataFrame | None = None, leaving: walk.Leaving | None = None) -> Run:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import graph, walk
+from pathloom.operators import graph, render, walk
 from pathloom.plans import catalog
 from pathloom.sources import tables
 
@@ -35,6 +35,26 @@ def test_no_step_compares_ids_of_all_line_items(spark, monkeypatch):
     assert not any("l_suppkey" in p for p in plans)
 
 
+def _below_aggregate_of_lines(plan):
+    """The lines of the plan from the aggregate over line items to their table."""
+    lines = plan.split("\n")
+    table = next(i for i, line in enumerate(lines) if re.search(r"Relation \[.*l_suppkey", line))
+    top = max(i for i in range(table) if re.search(r"\bAggregate \[", lines[i]))
+    return lines[top:table]
+
+
+@pytest.mark.parametrize("leaving", [True, False])
+def test_rendering_collapses_no_edge_off_the_walks(spark, leaving):
+    walks = spark.createDataFrame([(0, "N1", ["N1", "S1", "P0"], 3)], "draw_id long, start string, nodes array<string>, length int")
+    nodes, edges = catalog.trade_graph(spark, SF)
+    s = edges.filter("src like 'S%'").orderBy("src", "dst").first()
+    walks = walks.withColumn("nodes", F.array(F.lit("N1"), F.lit(s.src), F.lit(s.dst)))
+    found = render.render_paths(walks, nodes, edges, tables.trade_edges_leaving(spark, SF) if leaving else None)
+    assert any("LeftSemi" in line for line in _below_aggregate_of_lines(_optimized(found)))
+    resolved = render.render_paths(walks, graph.resolved_nodes(nodes), graph.resolved_edges(edges))
+    assert found.collect() == resolved.collect()
+
+
 def test_ranges_by_few_comparisons(spark):
     rows = spark.range(0, 5000).select((F.col("id") * F.col("id")).alias("k"))
     found = graph.in_ranges(rows, "k", 64)
